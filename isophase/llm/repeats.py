@@ -1,0 +1,219 @@
+"""Exact search for repeated windows over whole texts, shared by the byte-level and the word-level operator.
+
+A window is ``width`` consecutive units (bytes or words) of one document. Naming every window would shuffle many times
+the corpus, so windows are first grouped into *runs*: the consecutive windows whose smallest ``k``-unit hash is at the
+same place (their minimiser). Equal windows have equal minimisers at equal offsets, so
+
+1. a run whose minimiser (its *core*) occurs nowhere else has only unique windows and is dropped,
+2. a run whose whole text (its *span*) occurs elsewhere has only repeated windows and is decided as one row,
+3. only the windows of the remaining runs, at the edges of repeated passages, are named one by one and compared with
+   those of one representative of each other span of the same core.
+
+Names are compared in pairs (core, span) or (core, window), 128 bits together. Every step is a partially aggregated
+``groupBy`` or an equi-join whose large side AQE can split, so a core or span held by a third of the documents costs
+one row per task, not one task.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize, text_key
+
+CHUNK = 1 << 16
+_MASK = np.uint64((1 << 20) - 1)
+_P = 0x9E3779B97F4A7C15
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+LAST = (1 << 63) - 1
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64."""
+    if n not in _POWERS:
+        up, down = np.full(n, _P, np.uint64), np.full(n, pow(_P, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _POWERS[n] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _POWERS[n]
+
+
+@dataclass(frozen=True)
+class Units:
+    """A text of ``n`` units: unit i is ``body[start[i]:end[i]]``, or byte i where these are None; ``codes(a, b)``: 64-bit codes of units a..b-1."""
+
+    body: bytes
+    n: int
+    codes: Callable[[int, int], np.ndarray]
+    start: np.ndarray | None = None
+    end: np.ndarray | None = None
+
+
+def runs(u: Units, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, last window and minimiser position of each run.
+
+    Works through the text in chunks, so arrays do not grow with a document; a run is cut where a chunk ends.
+    """
+    windows, w = u.n - width + 1, width - k + 1
+    if windows <= 0:
+        none = np.empty(0, np.int64)
+        return none, none, none
+    up, down = _powers(CHUNK + width)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for at in range(0, windows, CHUNK):
+        n = min(CHUNK, windows - at)
+        part = u.codes(at, at + n + width - 1)
+        total = np.empty(len(part) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(part * up[: len(part)], out=total[1:])
+        name = total[k:] - total[:-k]
+        name *= down[: len(name)]
+        name ^= name >> np.uint64(32)
+        name *= np.uint64(0xD6E8FEB86659FD93)
+        name ^= name >> np.uint64(29)
+        size = -(-len(name) // w) * w
+        key = np.full(size, np.iinfo(np.uint64).max, np.uint64)
+        key[: len(name)] = (name & ~_MASK) | np.arange(len(name), dtype=np.uint64)
+        rows = key.reshape(-1, w)
+        ahead = np.minimum.accumulate(rows, axis=1).ravel()
+        back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+        place = (np.minimum(back[:n], ahead[w - 1 : w - 1 + n]) & _MASK).astype(np.int64)
+        cut = np.flatnonzero(place[1:] != place[:-1]) + 1
+        first, last = np.concatenate(([0], cut)), np.concatenate((cut, [n])) - 1
+        out.append((first + at, last + at, place[first] + at))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+@dataclass(frozen=True)
+class Search:
+    """``any_other``: a window counts as repeated if it starts anywhere else; otherwise if it starts in a document with a smaller id."""
+
+    cut: Callable[[bytes], Units]
+    width: int
+    k: int
+    any_other: bool
+
+
+_FIND = "doc_id long, key long, core long, span long, lo int, hi int"
+_NAMED = "doc_id long, key long, core long, name long, at int, n long, low long, open boolean"
+
+
+def _names(u: Units, first: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit names of the unit ranges [first, end)."""
+    if not len(first):
+        return np.empty(0, np.int64)
+    digest, body = xxhash.xxh3_64_intdigest, u.body
+    a, b = (first.tolist(), end.tolist()) if u.start is None else (u.start[first].tolist(), u.end[end - 1].tolist())
+    return np.fromiter((digest(body[x:y], seed) for x, y in zip(a, b, strict=True)), np.uint64, len(a)).view(np.int64)
+
+
+def _find(search: Search):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = batch.column(0), batch.column(1)
+            rows, cols = [], []
+            for i, text in enumerate(batch.column(2)):
+                u = search.cut(text.as_py() or b"")
+                lo, hi, m = runs(u, search.width, search.k)
+                if len(lo):
+                    rows.append(np.full(len(lo), i))
+                    cols.append((_names(u, m, m + search.k, 1), _names(u, lo, hi + search.width, 2), lo.astype(np.int32), hi.astype(np.int32)))
+            if rows:
+                take = pa.array(np.concatenate(rows))
+                core, span, lo, hi = (np.concatenate(x) for x in zip(*cols, strict=True))
+                yield pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), pa.array(core), pa.array(span), pa.array(lo), pa.array(hi)], names=["doc_id", "key", "core", "span", "lo", "hi"])
+
+    return work
+
+
+def _expand(search: Search):
+    """Windows of the given runs, one row each."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, key, text, todo in zip(*(batch.column(i) for i in range(4)), strict=True):
+                u = search.cut(text.as_py() or b"")
+                todo = todo.as_py()
+                size = np.array([r["hi"] - r["lo"] + 1 for r in todo])
+                at = np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in todo])
+                names = _names(u, at, at + search.width, 3)
+                put = lambda k, kind: pa.array(np.repeat(np.array([r[k] for r in todo], kind), size))
+                for j in range(0, len(at), 100_000):
+                    own = slice(j, j + 100_000)
+                    n = len(at[own])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([doc.as_py()] * n, pa.int64()), pa.array([key.as_py()] * n, pa.int64()), put("core", np.int64)[own], pa.array(names[own]), pa.array(at[own].astype(np.int32)), put("n", np.int64)[own], put("low", np.int64)[own], put("open", bool)[own]],
+                        names=["doc_id", "key", "core", "name", "at", "n", "low", "open"],
+                    )
+
+    return work
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, key, body``: the text as bytes, with a key that tells apart rows sharing an id."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("body"))
+
+
+def repeated_ranges(docs: DataFrame, search: Search) -> DataFrame:
+    """``(doc_id, key, lo, hi)``: the repeated windows ``lo..hi`` of ``docs`` (as :func:`keyed` returns it).
+
+    Ranges of a document can touch or overlap. Rows that share id and text have one set of ranges between them.
+    """
+    order = F.coalesce("doc_id", F.lit(LAST))
+    found = materialize(docs.mapInArrow(_find(search), _FIND))
+    if search.any_other:
+        shared = found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
+    else:
+        shared = found.groupBy("core").agg(F.min(order).alias("a"), F.max(order).alias("b")).where("a < b")
+    kept = materialize(found.join(shared.select("core"), "core"))
+    spans = kept.groupBy("core", "span").agg(
+        F.count("*").alias("n"), F.min(order).alias("low"), *(F.first(c).alias(f"r_{c}") for c in ("doc_id", "key", "lo", "hi"))
+    )
+    spans = materialize(spans)
+    cores = spans.groupBy("core").agg(F.count("*").alias("spans"), F.min("n").alias("least"), F.min("low").alias("core_low"), F.max("low").alias("core_high"))
+    if search.any_other:
+        cores = cores.select("core", (F.expr("least = 1 and spans > 1")).alias("contested"), "core_low")
+        open_span = F.expr("contested and n = 1")
+    else:
+        cores = cores.select("core", F.expr("core_high > core_low").alias("contested"), "core_low")
+        open_span = F.expr("low > core_low")
+    spans = materialize(spans.join(cores, "core").withColumn("open_span", open_span).drop("core_low"))
+    repeated = (F.col("n") > 1) if search.any_other else (F.col("low") < order)
+    state = kept.join(spans.select("core", "span", "n", "low", "open_span"), ["core", "span"]).withColumn("repeated", repeated)
+    state = materialize(state.where("repeated or open_span").select("doc_id", "key", "core", "lo", "hi", "repeated"))
+    todo = state.where("not repeated").select("doc_id", "key", "core", "lo", "hi", F.lit(1).cast("long").alias("n"), F.lit(True).alias("open"))
+    others = spans.where("contested and not open_span").select(
+        *(F.col(f"r_{c}").alias(c) for c in ("doc_id", "key")), "core", F.col("r_lo").alias("lo"), F.col("r_hi").alias("hi"), "n", F.lit(False).alias("open"), "low"
+    )
+    wanted = todo.withColumn("low", order).unionByName(others)
+    per_doc = wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("core", "lo", "hi", "n", "open", "low")).alias("todo"))
+    body = docs.join(per_doc.withColumnRenamed("doc_id", "d").withColumnRenamed("key", "k"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
+    named = materialize(body.select("doc_id", "key", "body", "todo").mapInArrow(_expand(search), _NAMED))
+    if search.any_other:
+        twice = named.groupBy("core", "name").agg(F.sum("n").alias("n")).where("n > 1").select("core", "name")
+        windows = named.where("open").join(twice, ["core", "name"])
+    else:
+        early = named.groupBy("core", "name").agg(F.min("low").alias("a"), F.max("low").alias("b")).where("a < b").select("core", "name", "a")
+        windows = named.where("open").join(early, ["core", "name"]).where(F.col("a") < order)
+    return state.where("repeated").select("doc_id", "key", "lo", "hi").union(windows.select("doc_id", "key", "at", "at"))
+
+
+def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Each row of ``docs`` with the array ``ranges`` of its repeated windows (null: none)."""
+    per_doc = ranges.groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    per_doc = per_doc.withColumnRenamed("doc_id", "d").withColumnRenamed("key", "k")
+    return docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left").drop("d", "k")
+
+
+def covered(ranges: list | None, width: int, units: int) -> np.ndarray:
+    """Boolean for each unit: covered by a window of these ranges."""
+    step = np.zeros(units + 1, np.int64)
+    if ranges:
+        np.add.at(step, [r["lo"] for r in ranges], 1)
+        np.add.at(step, [r["hi"] + width for r in ranges], -1)
+    return np.cumsum(step)[:units] > 0
