@@ -44,8 +44,8 @@ def release(spark: SparkSession) -> None:
 
 
 def text_key(text: Column) -> Column:
-    """Tells apart documents that share a ``doc_id``; a null text counts as empty."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    """32 bits that tell apart documents sharing a ``doc_id``; a null text counts as empty."""
+    return F.hash(F.coalesce(text, F.lit("")))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -57,7 +57,7 @@ def unitigs(gone: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-_OUT = "doc_id long, key long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept string"
+_OUT = "doc_id long, key int, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept string"
 
 
 def _report(width: int, texts: bool):
@@ -65,14 +65,14 @@ def _report(width: int, texts: bool):
         for batch in batches:
             rows = []
             for doc, key, text, ranges in zip(*(batch.column(i) for i in range(4)), strict=True):
-                words = words_of(text.as_py() or b"")
+                words = words_of(repeats.unpack(text.as_py()))
                 gone = repeats.covered(ranges.as_py(), width, len(words))
                 left = words if not gone.any() else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 kept = b" ".join(left)
                 spans = [{"start": a, "end": b} for a, b in unitigs(gone)]
                 rows.append((doc.as_py(), key.as_py(), len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), spans, kept.decode(errors="replace") if texts else None))
             cols = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "key", "n_words", "n_removed", "kept_sha256", "spans", "kept"])
 
     return work

@@ -7,11 +7,12 @@ same place (their minimiser). Equal windows have equal minimisers at equal offse
 1. a run whose minimiser (its *core*) occurs nowhere else has only unique windows and is dropped,
 2. a run whose whole text (its *span*) occurs elsewhere has only repeated windows and is decided as one row,
 3. only the windows of the remaining runs, at the edges of repeated passages, are named one by one and compared with
-   those of one representative of each other span of the same core.
+   those of one representative of each other span of the same core. The spans of a core with up to ``GROUP`` of them
+   meet in one task; the windows of a core with more are dealt out by their own names instead.
 
-Names are compared in pairs (core, span) or (core, window), 128 bits together. Every step is a partially aggregated
-``groupBy`` or an equi-join whose large side AQE can split, so a core or span held by a third of the documents costs
-one row per task, not one task.
+Names are compared in pairs (core, span) or (core, window), 128 bits together. Every other step is a partially
+aggregated ``groupBy`` or an equi-join whose large side AQE can split, so a core or span held by a third of the
+documents costs one row per task, not one task. Texts cross a shuffle twice, compressed.
 """
 
 from __future__ import annotations
@@ -22,16 +23,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_key
 
+
 CHUNK = 1 << 16
 _MASK = np.uint64((1 << 20) - 1)
 _P = 0x9E3779B97F4A7C15
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 LAST = (1 << 63) - 1
+#: Spans of one core, each at most ``2 * width - k`` units, that are compared in one task.
+GROUP = 4096
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +104,9 @@ class Search:
     any_other: bool
 
 
-_FIND = "doc_id long, key long, core long, span long, lo int, hi int"
-_NAMED = "doc_id long, key long, core long, name long, at int, n long, low long, open boolean"
+_FIND = "doc_id long, key int, core long, span long, lo int, hi int"
+_NAMED = "doc_id long, key int, core long, name long, at int, n long, low long, open boolean, span binary"
+_RANGES = "doc_id long, key int, lo int, hi int"
 
 
 def _names(u: Units, first: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
@@ -132,28 +138,105 @@ def _find(search: Search):
 
 
 def _expand(search: Search):
-    """Windows of the given runs, one row each."""
+    """The given runs of each text: their spans, or one row for each window where their core is a large one."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, key, text, todo in zip(*(batch.column(i) for i in range(4)), strict=True):
-                u = search.cut(text.as_py() or b"")
-                todo = todo.as_py()
-                size = np.array([r["hi"] - r["lo"] + 1 for r in todo])
-                at = np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in todo])
-                names = _names(u, at, at + search.width, 3)
-                put = lambda k, kind: pa.array(np.repeat(np.array([r[k] for r in todo], kind), size))
-                for j in range(0, len(at), 100_000):
-                    own = slice(j, j + 100_000)
-                    n = len(at[own])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([doc.as_py()] * n, pa.int64()), pa.array([key.as_py()] * n, pa.int64()), put("core", np.int64)[own], pa.array(names[own]), pa.array(at[own].astype(np.int32)), put("n", np.int64)[own], put("low", np.int64)[own], put("open", bool)[own]],
-                        names=["doc_id", "key", "core", "name", "at", "n", "low", "open"],
-                    )
+                u = search.cut(unpack(text.as_py()))
+                whole, parted = [], []
+                for r in todo.as_py():
+                    (parted if r["large"] else whole).append(r)
+                lo = np.array([r["lo"] for r in whole], np.int64)
+                hi = np.array([r["hi"] for r in whole], np.int64)
+                yield _rows(doc, key, whole, np.zeros(len(whole), np.int64), lo, _texts(u, lo, hi + search.width))
+                for r in parted:
+                    at = np.arange(r["lo"], r["hi"] + 1)
+                    yield _rows(doc, key, [r] * len(at), _names(u, at, at + search.width, 3), at, [None] * len(at))
+
+    return work
+
+
+def _rows(doc, key, runs_: list[dict], names: np.ndarray, at: np.ndarray, spans: list) -> pa.RecordBatch:
+    col = lambda k, kind: pa.array([r[k] for r in runs_], kind)
+    n = len(runs_)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([doc.as_py()] * n, pa.int64()), pa.array([key.as_py()] * n, pa.int32()), col("core", pa.int64()), pa.array(names), pa.array(at.astype(np.int32)), col("n", pa.int64()), col("low", pa.int64()), col("open", pa.bool_()), pa.array(spans, pa.binary())],
+        names=["doc_id", "key", "core", "name", "at", "n", "low", "open", "span"],
+    )
+
+
+def _texts(u: Units, first: np.ndarray, end: np.ndarray) -> list[bytes]:
+    a, b = (first, end) if u.start is None else (u.start[first], u.end[end - 1])
+    return [u.body[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+
+
+def _decide(search: Search):
+    """Repeated windows of the open spans, from all spans of each core; rows come sorted by core."""
+
+    def group(rows: list[tuple]) -> list[tuple]:
+        names, sizes = [], []
+        for r in rows:
+            u = search.cut(r[7])
+            at = np.arange(u.n - search.width + 1)
+            names.append(_names(u, at, at + search.width, 3))
+            sizes.append(len(at))
+        name, own = np.concatenate(names), np.repeat(np.arange(len(rows)), sizes)
+        _, back = np.unique(name, return_inverse=True)
+        if search.any_other:
+            n = np.bincount(back, np.array([r[4] for r in rows], float)[own])
+            hit = n[back] > 1
+        else:
+            low = np.array([r[5] for r in rows], np.int64)[own]
+            least = np.full(back.max() + 1, LAST, np.int64)
+            np.minimum.at(least, back, low)
+            hit = least[back] < low
+        out, at = [], 0
+        for r, size in zip(rows, sizes, strict=True):
+            if r[6]:
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], hit[at : at + size].view(np.int8), [0])))) + r[3]
+                out += [(r[1], r[2], a, b - 1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+            at += size
+        return out
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                if held and row[0] != held[0][0]:
+                    out += group(held)
+                    held = []
+                held.append(row)
+            yield _as_ranges(out)
+        if held:
+            yield _as_ranges(group(held))
 
     return work
 
 
+def _as_ranges(out: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*out, strict=True)) or [()] * 4
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "key", "lo", "hi"])
+
+
+def unpack(body: bytes | None) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(body) if body else b""
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        body = pa.array([squeeze.compress(t.as_py() or b"") for t in batch.column(2)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), body], names=["doc_id", "key", "body"])
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` (as :func:`keyed` returns it) with compressed bodies, for :func:`unpack`."""
+    return docs.mapInArrow(_pack, "doc_id long, key int, body binary")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``doc_id, key, body``: the text as bytes, with a key that tells apart rows sharing an id."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("body"))
@@ -176,38 +259,48 @@ def repeated_ranges(docs: DataFrame, search: Search) -> DataFrame:
     )
     spans = materialize(spans)
     cores = spans.groupBy("core").agg(F.count("*").alias("spans"), F.min("n").alias("least"), F.min("low").alias("core_low"), F.max("low").alias("core_high"))
-    if search.any_other:
-        cores = cores.select("core", (F.expr("least = 1 and spans > 1")).alias("contested"), "core_low")
-        open_span = F.expr("contested and n = 1")
-    else:
-        cores = cores.select("core", F.expr("core_high > core_low").alias("contested"), "core_low")
-        open_span = F.expr("low > core_low")
+    contested = "least = 1 and spans > 1" if search.any_other else "core_high > core_low"
+    cores = cores.select("core", F.expr(contested).alias("contested"), "core_low", (F.col("spans") > GROUP).alias("large"))
+    open_span = F.expr("contested and n = 1" if search.any_other else "low > core_low")
     spans = materialize(spans.join(cores, "core").withColumn("open_span", open_span).drop("core_low"))
     repeated = (F.col("n") > 1) if search.any_other else (F.col("low") < order)
-    state = kept.join(spans.select("core", "span", "n", "low", "open_span"), ["core", "span"]).withColumn("repeated", repeated)
-    state = materialize(state.where("repeated or open_span").select("doc_id", "key", "core", "lo", "hi", "repeated"))
-    todo = state.where("not repeated").select("doc_id", "key", "core", "lo", "hi", F.lit(1).cast("long").alias("n"), F.lit(True).alias("open"))
+    state = kept.join(spans.select("core", "span", "n", "low", "open_span", "large"), ["core", "span"]).withColumn("repeated", repeated)
+    state = materialize(state.where("repeated or open_span").select("doc_id", "key", "core", "lo", "hi", "repeated", "large"))
+    todo = state.where("not repeated").select("doc_id", "key", "core", "lo", "hi", "large", F.lit(1).cast("long").alias("n"), F.lit(True).alias("open"), order.alias("low"))
     others = spans.where("contested and not open_span").select(
-        *(F.col(f"r_{c}").alias(c) for c in ("doc_id", "key")), "core", F.col("r_lo").alias("lo"), F.col("r_hi").alias("hi"), "n", F.lit(False).alias("open"), "low"
+        *(F.col(f"r_{c}").alias(c) for c in ("doc_id", "key")), "core", F.col("r_lo").alias("lo"), F.col("r_hi").alias("hi"), "large", "n", F.lit(False).alias("open"), "low"
     )
-    wanted = todo.withColumn("low", order).unionByName(others)
-    per_doc = wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("core", "lo", "hi", "n", "open", "low")).alias("todo"))
-    body = docs.join(per_doc.withColumnRenamed("doc_id", "d").withColumnRenamed("key", "k"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
-    named = materialize(body.select("doc_id", "key", "body", "todo").mapInArrow(_expand(search), _NAMED))
-    if search.any_other:
-        twice = named.groupBy("core", "name").agg(F.sum("n").alias("n")).where("n > 1").select("core", "name")
-        windows = named.where("open").join(twice, ["core", "name"])
-    else:
-        early = named.groupBy("core", "name").agg(F.min("low").alias("a"), F.max("low").alias("b")).where("a < b").select("core", "name", "a")
-        windows = named.where("open").join(early, ["core", "name"]).where(F.col("a") < order)
-    return state.where("repeated").select("doc_id", "key", "lo", "hi").union(windows.select("doc_id", "key", "at", "at"))
+    per_doc = todo.unionByName(others).groupBy("doc_id", "key").agg(F.collect_list(F.struct("core", "lo", "hi", "n", "open", "low", "large")).alias("todo"))
+    body = packed(docs).join(_renamed(per_doc), _same())
+    named = body.select("doc_id", "key", "body", "todo").mapInArrow(_expand(search), _NAMED)
+    ranges = state.where("repeated").select("doc_id", "key", "lo", "hi")
+    if spans.where("large and open_span").limit(1).count():
+        named = materialize(named)
+        windows = named.where("span is null")
+        if search.any_other:
+            twice = windows.groupBy("core", "name").agg(F.sum("n").alias("n")).where("n > 1").select("core", "name")
+            windows = windows.where("open").join(twice, ["core", "name"])
+        else:
+            early = windows.groupBy("core", "name").agg(F.min("low").alias("a"), F.max("low").alias("b")).where("a < b").select("core", "name", "a")
+            windows = windows.where("open").join(early, ["core", "name"]).where(F.col("a") < order)
+        ranges = ranges.union(windows.select("doc_id", "key", "at", "at"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = named.where("span is not null").select("core", "doc_id", "key", "at", "n", "low", "open", "span")
+    return ranges.union(whole.repartition(n, "core").sortWithinPartitions("core").mapInArrow(_decide(search), _RANGES))
+
+
+def _same():
+    return F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))
+
+
+def _renamed(per_doc: DataFrame) -> DataFrame:
+    return per_doc.withColumnRenamed("doc_id", "d").withColumnRenamed("key", "k")
 
 
 def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Each row of ``docs`` with the array ``ranges`` of its repeated windows (null: none)."""
+    """Each row of ``docs``, packed, with the array ``ranges`` of its repeated windows (null: none)."""
     per_doc = ranges.groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    per_doc = per_doc.withColumnRenamed("doc_id", "d").withColumnRenamed("key", "k")
-    return docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left").drop("d", "k")
+    return packed(docs).join(_renamed(per_doc), _same(), "left").drop("d", "k")
 
 
 def covered(ranges: list | None, width: int, units: int) -> np.ndarray:

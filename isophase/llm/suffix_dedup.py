@@ -62,7 +62,7 @@ def whole_characters(body: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-_OUT = "doc_id long, key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
+_OUT = "doc_id long, key int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
 
 
 def _report(width: int, texts: bool):
@@ -70,14 +70,14 @@ def _report(width: int, texts: bool):
         for batch in batches:
             rows = []
             for doc, key, text, ranges in zip(*(batch.column(i) for i in range(4)), strict=True):
-                body = text.as_py() or b""
+                body = repeats.unpack(text.as_py())
                 spans = removed_spans(ranges.as_py(), width, len(body))
                 n = sum(b - a for a, b in spans)
                 sha = hashlib.sha256(_rest(body, spans)).hexdigest()
                 kept = _rest(body, whole_characters(body, spans)) if texts else None
                 rows.append((doc.as_py(), key.as_py(), len(body), n, len(spans), sha, [{"start": a, "end": b} for a, b in spans], kept))
             cols = list(zip(*rows, strict=True)) or [()] * 8
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
     return work
