@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .debruijn import op7_substring_dedup
+from .mixing import op8_mix
+from .simhash import op1_simhash
 from .suffix_dedup import op6_suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_suffix_dedup, op7_substring_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op6_suffix_dedup, op7_substring_dedup, op8_mix)}
 
 
 def oracle_sql() -> dict[str, str]:

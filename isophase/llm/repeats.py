@@ -253,7 +253,8 @@ def repeated_ranges(docs: DataFrame, search: Search) -> DataFrame:
         shared = found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
     else:
         shared = found.groupBy("core").agg(F.min(order).alias("a"), F.max(order).alias("b")).where("a < b")
-    kept = materialize(found.join(shared.select("core"), "core"))
+    shared = materialize(shared.select("core"))  # a written table: only a join of two plain exchanges is split where it is skewed
+    kept = materialize(found.join(shared, "core"))
     spans = kept.groupBy("core", "span").agg(
         F.count("*").alias("n"), F.min(order).alias("low"), *(F.first(c).alias(f"r_{c}") for c in ("doc_id", "key", "lo", "hi"))
     )
