@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .debruijn import op7_substring_dedup
+from .license_scan import op2_license_scan
 from .mixing import op8_mix
+from .quality_dsir import op4_quality
 from .simhash import op1_simhash
 from .suffix_dedup import op6_suffix_dedup
+from .url_filter import op3_url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op6_suffix_dedup, op7_substring_dedup, op8_mix)}
+    return {f.__name__: f for f in (op1_simhash, op2_license_scan, op3_url_filter, op4_quality, op6_suffix_dedup, op7_substring_dedup, op8_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
