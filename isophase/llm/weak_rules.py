@@ -35,10 +35,10 @@ RULES = (
 
 #: Rounds of expectation maximisation, and the share of bad documents that it starts from.
 ROUNDS, BAD = 100, 0.1
-#: What is known of the rules beforehand: how often one that votes calls a good and a bad document bad, and the weight
-#: of that as a share of the documents it votes on. A kind of junk is seen by one or two rules only, so that they seldom
-#: agree; without this, rules that overlap would make up a class of their own.
-ON_GOOD, ON_BAD, KNOWN = 0.002, 0.4, 0.2
+#: What is known of the rules beforehand: how often one that votes calls a good and a bad document bad, and the weights
+#: of these as shares of the documents it votes on. Rules seldom fire on good text, which is known well. A kind of junk
+#: is seen by one or two rules only, so that they seldom agree; without this, overlapping rules would be a class.
+ON_GOOD, ON_BAD, KNOWN_GOOD, KNOWN_BAD = 0.001, 0.4, 10.0, 0.2
 
 _SYMBOL_BYTES = SYMBOLS.encode()
 _KEEP_SYMBOLS = bytes(b for b in range(256) if b not in _SYMBOL_BYTES)
@@ -136,7 +136,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rules: int = len(RULES)) -> np
         return np.empty(0)
     vote = patterns[:, None] // 3 ** np.arange(rules - 1, -1, -1) % 3
     says_good, says_bad = (vote == 1).astype(float), (vote == 2).astype(float)
-    weight = KNOWN * np.maximum(1.0, counts @ (says_good + says_bad))
+    weight = np.array([[KNOWN_GOOD], [KNOWN_BAD]]) * np.maximum(1.0, counts @ (says_good + says_bad))
     known = np.array([ON_GOOD, ON_BAD])
     bad_vote = np.repeat(known[:, None], rules, axis=1)
     prior = np.array([1 - BAD, BAD])
