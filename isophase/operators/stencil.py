@@ -11,16 +11,21 @@ from pyspark.sql import functions as F
 
 from isophase.functions.phase import cycle_difference, wrap
 
-_ROW = Window.partitionBy("frame_id", "i").orderBy("j")
-_COLUMN = Window.partitionBy("frame_id", "j").orderBy("i")
+
+def _row():
+    return Window.partitionBy("frame_id", "i").orderBy("j")
+
+
+def _column():
+    return Window.partitionBy("frame_id", "j").orderBy("i")
 
 
 def right(value: str) -> Column:
-    return F.when(F.lead("j").over(_ROW) == F.col("j") + 1, F.lead(value).over(_ROW))
+    return F.when(F.lead("j").over(_row()) == F.col("j") + 1, F.lead(value).over(_row()))
 
 
 def below(value: str) -> Column:
-    return F.when(F.lead("i").over(_COLUMN) == F.col("i") + 1, F.lead(value).over(_COLUMN))
+    return F.when(F.lead("i").over(_column()) == F.col("i") + 1, F.lead(value).over(_column()))
 
 
 def residues(pixels: DataFrame) -> DataFrame:
@@ -139,7 +144,7 @@ def boundary_pixels(labels: DataFrame, most: int = 2000) -> DataFrame:
     The edge of the image is no boundary. Thinning takes every ``ceil(n / most)``-th pixel in raster order.
     """
     p = labels
-    for name, win, axis, step in (("e", _ROW, "j", 1), ("w", _ROW, "j", -1), ("s", _COLUMN, "i", 1), ("n", _COLUMN, "i", -1)):
+    for name, win, axis, step in (("e", _row(), "j", 1), ("w", _row(), "j", -1), ("s", _column(), "i", 1), ("n", _column(), "i", -1)):
         p = p.withColumn(name, F.when(F.lead(axis, step).over(win) == F.col(axis) + step, F.lead("label", step).over(win)))
     differs = [F.coalesce(F.col(c) != F.col("label"), F.lit(False)) for c in "ewsn"]
     edge = p.where((F.col("label") > 0) & (differs[0] | differs[1] | differs[2] | differs[3]))
@@ -164,10 +169,10 @@ def itoh(pixels: DataFrame, flow_h: Column | None = None, flow_v: Column | None
     """
     tau = F.lit(2 * 3.141592653589793)
     zero = F.lit(0)
-    step_h = F.coalesce(-cycle_difference(F.col("psi"), F.lag("psi").over(_ROW)) + (zero if flow_h is None else flow_h), zero)
-    step_v = F.coalesce(-cycle_difference(F.col("psi"), F.lag("psi").over(_COLUMN)) + (zero if flow_v is None else flow_v), zero)
+    step_h = F.coalesce(-cycle_difference(F.col("psi"), F.lag("psi").over(_row())) + (zero if flow_h is None else flow_h), zero)
+    step_v = F.coalesce(-cycle_difference(F.col("psi"), F.lag("psi").over(_column())) + (zero if flow_v is None else flow_v), zero)
     p = pixels.withColumn("sh", F.when(F.col("j") > 0, step_h).otherwise(zero)).withColumn("sv", F.when(F.col("i") > 0, step_v).otherwise(zero))
     k0 = p.where("j = 0").select("frame_id", "i", F.sum("sv").over(Window.partitionBy("frame_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).alias("k0"))
     p = p.join(k0, ["frame_id", "i"])
-    k = F.col("k0") + F.sum("sh").over(_ROW.rowsBetween(Window.unboundedPreceding, 0))
+    k = F.col("k0") + F.sum("sh").over(_row().rowsBetween(Window.unboundedPreceding, 0))
     return p.select("frame_id", "i", "j", k.cast("int").alias("k"), (F.col("psi") + tau * k).alias("unw"))
