@@ -158,7 +158,8 @@ def label(mask: np.ndarray, cut_h: np.ndarray | None = None, cut_v: np.ndarray |
         before = own.copy()
         for a, b, j in ((own[:, 1:], own[:, :-1], join_h), (own[1:], own[:-1], join_v)):
             low = np.minimum(a, b)
-            a[j], b[j] = low[j], low[j]
+            a[j] = np.minimum(a[j], low[j])
+            b[j] = np.minimum(b[j], low[j])
         flat = np.append(own.ravel(), m * n)
         own = np.where(mask, flat[own], m * n)
         if (own == before).all():
