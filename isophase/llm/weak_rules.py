@@ -38,7 +38,7 @@ ROUNDS, BAD = 100, 0.1
 #: What is known of the rules beforehand: how often one that votes calls a good and a bad document bad, and the weights
 #: of these as shares of the documents it votes on. Rules seldom fire on good text, which is known well. A kind of junk
 #: is seen by one or two rules only, so that they seldom agree; without this, overlapping rules would be a class.
-ON_GOOD, ON_BAD, KNOWN_GOOD, KNOWN_BAD = 0.001, 0.4, 10.0, 0.2
+ON_GOOD, ON_BAD, KNOWN_GOOD, KNOWN_BAD = 0.001, 0.2, 10.0, 0.2
 
 _SYMBOL_BYTES = SYMBOLS.encode()
 _KEEP_SYMBOLS = bytes(b for b in range(256) if b not in _SYMBOL_BYTES)
