@@ -69,7 +69,7 @@ def test_least_cost_by_enumeration():
 
 
 def test_bridge_levels_regions():
-    truth = ramp(64, 2)
+    truth = ramp(64, 0.5)
     ok = np.ones(truth.shape, bool)
     ok[:, 30:33] = False
     moved = np.where(np.arange(64)[None, :] > 31, truth + 3 * TAU, truth)
