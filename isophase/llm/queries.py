@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .debruijn import op7_substring_dedup
 from .decontaminate import op10_decontaminate
 from .license_scan import op2_license_scan
@@ -25,4 +26,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
