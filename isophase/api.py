@@ -9,20 +9,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from isophase.functions.phase import looks
-from isophase.solver import mcf
+from isophase.solver import mcf, network
 
 
 @dataclass(frozen=True)
 class Options:
     """``window``: box of the gradient smoothing; ``bridge``: move regions onto their neighbours; ``min_size`` and
     ``max_ncomps`` of components; ``interpolate`` and ``goldstein``: filters before solving, after which the cycles are
-    transferred to the unfiltered phase."""
+    transferred to the unfiltered phase; ``form`` of the costs: linear, convex, or grounded, which charges ``ground`` for a
+    unit that leaves the frame."""
 
     window: tuple[int, int] = (7, 7)
     bridge: bool = True
     bridge_min_px: int = 500
     min_size: int = 100
     max_ncomps: int = 1024
+    form: str = "linear"
+    ground: int = 0
     interpolate: bool = False
     interpolate_cutoff: float = 0.1
     goldstein: float = 0.0
@@ -32,8 +35,8 @@ class Options:
 SCHEMA = "frame_id string, i int, j int, unw double, label int"
 
 
-def _grid(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    m, n = int(pdf.i.max()) + 1, int(pdf.j.max()) + 1
+def _grid(pdf: pd.DataFrame, shape: tuple[int, int] | None = None) -> tuple[np.ndarray, ...]:
+    m, n = shape or (int(pdf.i.max()) + 1, int(pdf.j.max()) + 1)
     if m < 2 or n < 2:
         raise ValueError("a frame needs at least 2 by 2 pixels")
     phase, corr, mask = np.zeros((m, n)), np.zeros((m, n)), np.zeros((m, n), bool)
@@ -43,6 +46,24 @@ def _grid(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
     return phase, corr, mask
 
 
+def _solve(phase, corr, mask, nlooks: float, options: Options) -> tuple[np.ndarray, np.ndarray]:
+    supply = mcf.residues(phase)
+    if options.form == "convex":
+        return network.solve_convex(supply, *mcf.convex_costs(phase, corr, mask, nlooks, options.window))
+    costs = mcf.statistical_costs(phase, corr, mask, nlooks, options.window)
+    if options.form == "grounded":
+        return network.solve_grounded(supply, costs.down, costs.up, costs.left, costs.right, options.ground)
+    if options.form != "linear":
+        raise ValueError(f"unknown form {options.form!r}")
+    return mcf.solve(supply, costs)
+
+
+def unwrap_variance_arrays(phase, variance, mask) -> np.ndarray:
+    """Unwrapped phase (NaN outside the mask) of a frame with known phase variances in place of coherence."""
+    c_h, c_v = mcf.solve(mcf.residues(phase), mcf.variance_costs(phase, variance, mask))
+    return np.where(mask, phase + mcf.TAU * mcf.integrate(phase, c_h, c_v), np.nan)
+
+
 def unwrap_arrays(phase, corr, mask, nlooks: float, options: Options = Options()) -> tuple[np.ndarray, np.ndarray]:
     """Unwrapped phase (NaN outside the mask) and component labels of one frame."""
     nlooks = looks(nlooks)
@@ -54,8 +75,7 @@ def unwrap_arrays(phase, corr, mask, nlooks: float, options: Options = Options()
         if options.goldstein > 0:
             z = mcf.goldstein(z, options.goldstein, options.psize)
         filtered = np.angle(z)
-    costs = mcf.statistical_costs(filtered, corr, mask, nlooks, options.window)
-    c_h, c_v = mcf.solve(mcf.residues(filtered), costs)
+    c_h, c_v = _solve(filtered, corr, mask, nlooks, options)
     solved = filtered + mcf.TAU * mcf.integrate(filtered, c_h, c_v)
     unw = phase + mcf.TAU * np.rint((solved - phase) / mcf.TAU)
     labels = mcf.label(mask, c_h != 0, c_v != 0)
@@ -82,6 +102,30 @@ def unwrap(pixels: DataFrame, nlooks: float, options: Options = Options()) -> Da
     return pixels.select("frame_id", "i", "j", "psi", "corr", "mask").groupBy("frame_id").applyInPandas(one, SCHEMA)
 
 
+def unwrap_variance(pixels: DataFrame) -> DataFrame:
+    """``(frame_id, i, j, unw)`` of ``pixels(frame_id, i, j, psi, variance, mask)``; a variance that is not positive counts
+    as the largest one."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        phase, _, mask = _grid(pdf.assign(corr=1.0))
+        variance = np.zeros(phase.shape)
+        variance[pdf.i.to_numpy(int), pdf.j.to_numpy(int)] = pdf.variance.to_numpy(float)
+        i, j = np.nonzero(mask)
+        return pd.DataFrame({"frame_id": pdf.frame_id.iloc[0], "i": i.astype("int32"), "j": j.astype("int32"), "unw": unwrap_variance_arrays(phase, variance, mask)[i, j]})
+
+    return pixels.select("frame_id", "i", "j", "psi", "variance", "mask").groupBy("frame_id").applyInPandas(one, "frame_id string, i int, j int, unw double")
+
+
+def unwrap_points(points: DataFrame, max_edge: float | None = None) -> DataFrame:
+    """``(frame_id, pid, unw)`` of scattered ``points(frame_id, pid, x, y, phase, variance)``; see :mod:`.solver.network`."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        unw = network.unwrap_points(pdf.x, pdf.y, pdf.phase, pdf.variance, max_edge)
+        return pd.DataFrame({"frame_id": pdf.frame_id, "pid": pdf.pid, "unw": unw})
+
+    return points.select("frame_id", "pid", "x", "y", "phase", "variance").groupBy("frame_id").applyInPandas(one, "frame_id string, pid long, unw double")
+
+
 def label_components(pixels: DataFrame) -> DataFrame:
     """``(frame_id, i, j, label)``: 4-connected components of the mask, numbered in raster order."""
 

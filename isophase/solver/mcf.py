@@ -67,6 +67,34 @@ def statistical_costs(phase, corr, mask, nlooks: float, window=(7, 7), table: Ca
     return Costs(down, up, right, left)
 
 
+def variance_costs(phase, variance, mask, scale: int = 100, most: int = 65535) -> Costs:
+    """Costs from phase variances: what of pi the wrapped gradient leaves, over the variance of the difference."""
+    var = np.where(variance > 0, np.clip(variance, 1e-3, 50), 50.0)
+    price = lambda g, a, b, sign: np.minimum(np.rint(scale * np.maximum((np.pi - sign * g) / (a + b), 0)), most).astype(np.int64)
+    h, v = wrap(np.diff(phase, axis=1)), wrap(np.diff(phase, axis=0))
+    (ha, hb), (va, vb) = (var[:, :-1], var[:, 1:]), (var[:-1], var[1:])
+    out = Costs(price(h, ha, hb, 1), price(h, ha, hb, -1), price(v, va, vb, -1), price(v, va, vb, 1))
+    free_h, free_v = ~(mask[:, 1:] & mask[:, :-1]), ~(mask[1:] & mask[:-1])
+    out.down[free_h] = out.up[free_h] = 0
+    out.left[free_v] = out.right[free_v] = 0
+    return out
+
+
+def convex_costs(phase, corr, mask, nlooks: float, window=(7, 7)) -> tuple[np.ndarray, ...]:
+    """Offset (hundredths of a cycle) and weight of horizontal, then of vertical edges; 0 where an end is masked."""
+    out = []
+    for axis in (1, 0):
+        raw = wrap(np.diff(phase, axis=axis))
+        low = np.minimum(np.delete(corr, 0, axis), np.delete(corr, -1, axis)).clip(1e-3, 0.999)
+        both = np.delete(mask, 0, axis) & np.delete(mask, -1, axis)
+        variance = (1 - low**2) / (2 * nlooks * low**2)
+        # a unit of flow adds a cycle to the step, which should come out near the smoothed gradient
+        offset = np.rint(100 * (smooth(raw, *window) - raw) / TAU)
+        weight = np.rint(np.minimum(100 / np.maximum(variance, 1e-4), 1e7))
+        out += [np.where(both, offset, 0).astype(np.int64), np.where(both, weight, 0).astype(np.int64)]
+    return tuple(out)
+
+
 def solve(supply: np.ndarray, costs: Costs) -> tuple[np.ndarray, np.ndarray]:
     """Cycles ``(c_h, c_v)`` of least cost that balance the supply: successive shortest paths with potentials.
 
