@@ -144,7 +144,7 @@ def solve(supply: np.ndarray, costs: Costs) -> tuple[np.ndarray, np.ndarray]:
                 raise RuntimeError("supply does not balance")
             reach = done[sink]
             for u, d in done.items():
-                potential[u] += d - reach
+                potential[u] += reach - d
             u = sink
             while u != source:
                 p, k = came[u]
