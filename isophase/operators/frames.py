@@ -103,8 +103,8 @@ def modal(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def flow_objective(flows: DataFrame) -> DataFrame:
-    """Cost of a flow and what it leaves unbalanced: ``flows(frame_id, cost, flow)``."""
-    return flows.groupBy("frame_id").agg(F.sum(F.col("cost") * F.abs("flow")).alias("objective"))
+    """``(frame_id, objective, net)`` of ``flows(frame_id, cost, flow)``: what a flow costs, and its signed sum."""
+    return flows.groupBy("frame_id").agg(F.sum(F.col("cost") * F.abs("flow")).alias("objective"), F.sum("flow").alias("net"))
 
 
 def compare_stats(pixels: DataFrame, runtime: float | None = None) -> DataFrame:

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isophase import api
 from isophase.functions import phase as ph
 from isophase.operators import campaign as ca
 from isophase.operators import closure as cl
 from isophase.operators import costs as co
 from isophase.operators import frames as fr
 from isophase.operators import stencil as st
+from isophase.operators import truth as tr
+from isophase.plans import tiled
 from isophase.plans.rasters import CTE, LOOKS, TAU, WIDTH, campaign, event_stack, orders_raster, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -445,3 +448,91 @@ def granule_parse(spark, sf_dir):
 def normal_keys(spark, sf_dir):
     name = F.concat("c_name", F.lit(".v1."), "c_mktsegment", F.lit(".H5"))
     return _t(spark, sf_dir, "customer").select("c_custkey", ca.normal_key(name).alias("key"))
+
+
+# rasters: cuts, resampling, comparison with truth, solved frames
+
+
+@_query(_neigh(f"SELECT DISTINCT i + di AS i, j + dj AS j FROM (SELECT i, j, dir FROM ({_EDGES}) WHERE round(gradient) <> 0 AND corr > CAST(0.7 AS DOUBLE)) e, (VALUES (0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)) s(a, b), LATERAL (SELECT unnest([0, CASE WHEN dir = 'v' THEN 1 ELSE 0 END]) + a AS di, unnest([0, CASE WHEN dir = 'h' THEN 1 ELSE 0 END]) + b AS dj)"))
+def cut_pixels(spark, sf_dir):
+    cuts = st.edges(orders_raster(spark, sf_dir)).withColumn("flow", F.round("gradient").cast("int"))
+    return st.high_coherence_cuts(cuts).select("i", "j")
+
+
+@_query("SELECT CAST(i // 4 AS INT) AS i, CAST(j // 4 AS INT) AS j, round(avg(psi * corr + corr * psi), 6) + 0.0 AS re, round(avg(corr * corr - psi * psi), 6) + 0.0 AS im, round(least(sqrt(avg(2 * psi * corr) ** 2 + avg(psi * psi - corr * corr) ** 2) / sqrt(avg(corr * corr + psi * psi) * avg(corr * corr + psi * psi)), 1), 6) AS corr FROM pix GROUP BY 1, 2", "pix")
+def interferogram(spark, sf_dir):
+    p = orders_raster(spark, sf_dir)
+    pair = lambda re, im: p.select("frame_id", "i", "j", F.col(re).alias("re"), F.col(im).alias("im"))
+    return _round(st.interferogram(pair("corr", "psi"), pair("psi", "corr"), 4), 6, "re", "im", "corr").select("i", "j", "re", "im", "corr")
+
+
+@_query(_neigh(f"SELECT frame_id, CAST(sum(abs(flow) * cost) AS BIGINT) AS objective, CAST(sum(flow) AS BIGINT) AS net FROM (SELECT frame_id, CAST(round(gradient) AS BIGINT) AS flow, CAST(round(100 * corr) AS BIGINT) AS cost FROM ({_EDGES})) GROUP BY 1"))
+def flow_objective(spark, sf_dir):
+    e = st.edges(orders_raster(spark, sf_dir)).select("frame_id", F.round("gradient").cast("long").alias("flow"), F.round(100 * F.col("corr")).cast("long").alias("cost"))
+    return fr.flow_objective(e)
+
+
+_TRUTH = f"(SELECT frame_id, i, j, psi, CAST(0.35 AS DOUBLE) * (i + j) + 2 AS truth, psi + {_D.format(TAU)} * round(CAST(0.35 AS DOUBLE) * (i + j) / {_D.format(TAU)}) AS unw FROM pix)"
+_KERR = f"o AS (SELECT frame_id, round_even(median(unw - truth) / {_D.format(TAU)}, 0) * {_D.format(TAU)} AS off FROM {_TRUTH} GROUP BY 1), k AS (SELECT t.*, CAST(round_even((truth + off - psi) / {_D.format(TAU)}, 0) AS INT) AS k_true, CAST(round_even((unw - psi) / {_D.format(TAU)}, 0) AS INT) - CAST(round_even((truth + off - psi) / {_D.format(TAU)}, 0) AS INT) AS k_error FROM {_TRUTH} t JOIN o USING (frame_id))"
+
+
+def _with_truth(spark, sf_dir):
+    ramp = 0.35 * (F.col("i") + F.col("j"))
+    p = orders_raster(spark, sf_dir).select("frame_id", "i", "j", "psi")
+    return p.withColumn("truth", ramp + 2).withColumn("unw", F.col("psi") + F.lit(float(TAU)) * F.round(ramp / float(TAU)))
+
+
+@_query("WITH " + CTE["pix"] + ", " + _KERR + " SELECT k_error, count(*) AS n FROM k GROUP BY 1")
+def truth_errors(spark, sf_dir):
+    return tr.ambiguity_errors(_with_truth(spark, sf_dir)).groupBy("k_error").agg(F.count("*").alias("n"))
+
+
+_SAFE = f"abs({_wrap('psi - truth')}) < {_PI} / 2"
+
+
+@_query(
+    "WITH " + CTE["pix"] + ", " + _KERR.replace(f"FROM {_TRUTH}", "FROM eng").replace("o AS", f"eng AS (SELECT 'mine' AS engine, * FROM {_TRUTH} UNION ALL SELECT 'zero', frame_id, i, j, psi, truth, psi FROM {_TRUTH}), o AS", 1).replace("SELECT frame_id, round_even", "SELECT engine, round_even", 1).replace("USING (frame_id)", "USING (engine)")
+    + f" SELECT engine, count(*) AS n, round(avg(CAST(k_error = 0 AS INT)), 9) AS right_, round(avg(CAST(k_error = 0 AS INT)) FILTER (WHERE {_SAFE}), 9) AS right_recoverable, round(avg(CAST(k_error = 0 AS INT)) FILTER (WHERE {_SAFE} AND k_true <> 0), 9) AS hits, round(avg(CAST(k_error <> 0 AS INT)) FILTER (WHERE {_SAFE} AND k_true = 0), 9) AS false_alarms FROM k GROUP BY 1"
+)
+def truth_hits(spark, sf_dir):
+    both = tr.with_baseline(_with_truth(spark, sf_dir).withColumn("engine", F.lit("mine")).select("engine", "frame_id", "i", "j", "psi", "truth", "unw"))
+    errors = tr.ambiguity_errors(both.withColumn("frame_id", F.col("engine")))
+    out = tr.hits_and_false_alarms(errors, ["engine"]).withColumnRenamed("right", "right_")
+    return _round(out, 9, "right_", "right_recoverable", "hits", "false_alarms")
+
+
+@_query(f"SELECT frame_id, n, round((1 / (mode * mode) + 3) / 2, 6) AS looks_mode, round({_PI} / 4 / (mean * mean), 6) AS looks_mean FROM (SELECT frame_id, sum(c) AS n, sum(s) / sum(c) AS mean, (CAST(0.5 AS DOUBLE) + arg_max(bin, (c, -bin)) FILTER (WHERE bin IS NOT NULL)) * (CAST(0.6 AS DOUBLE) / 120) AS mode FROM (SELECT frame_id, CASE WHEN x < CAST(0.6 AS DOUBLE) THEN CAST(floor(x * (120 / CAST(0.6 AS DOUBLE))) AS INT) WHEN x = CAST(0.6 AS DOUBLE) THEN 119 END AS bin, count(*) AS c, sum(x) AS s FROM (SELECT frame_id, 1 - corr AS x FROM pix) WHERE x > 0 GROUP BY 1, 2) GROUP BY 1)", "pix")
+def water_looks(spark, sf_dir):
+    out = tr.zero_coherence_looks(orders_raster(spark, sf_dir).select("frame_id", (1 - F.col("corr")).alias("corr")))
+    return _round(out, 6, "looks_mode", "looks_mean")
+
+
+def _congruence(solved, psi, *keys):
+    """Points per group, and how many are not whole cycles off their wrapped phase."""
+    off = F.abs(ph.wrap(F.col("unw") - psi)) > 1e-6
+    return solved.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(off.cast("long")).alias("n_bad"))
+
+
+@_query("SELECT frame_id, count(*) AS n, CAST(0 AS BIGINT) AS n_bad FROM pix WHERE mask GROUP BY 1", "pix")
+def unwrap_tiled(spark, sf_dir):
+    p = orders_raster(spark, sf_dir)
+    rows = p.agg(F.max("i")).first()[0] + 1  # the raster's height, known from its metadata outside of tests
+    solved = tiled.unwrap_tiled(p, rows, WIDTH, LOOKS, 30, 6)
+    return _congruence(solved.join(p.select("frame_id", "i", "j", "psi"), ["frame_id", "i", "j"]), F.col("psi"), "frame_id")
+
+
+@_query("SELECT CAST(i // 30 AS VARCHAR) AS frame_id, count(*) AS n, CAST(0 AS BIGINT) AS n_bad FROM pix WHERE mask GROUP BY 1", "pix")
+def unwrap_frames(spark, sf_dir):
+    strip = F.floor(F.col("i") / 30).cast("int")
+    p = orders_raster(spark, sf_dir).select(strip.cast("string").alias("frame_id"), (F.col("i") - strip * 30).alias("i"), "j", "psi", "corr", "mask")
+    solved = api.unwrap(p, LOOKS, api.Options(bridge=False))
+    return _congruence(solved.join(p.select("frame_id", "i", "j", "psi"), ["frame_id", "i", "j"]), F.col("psi"), "frame_id")
+
+
+@_query("SELECT CAST(p_size AS VARCHAR) AS frame_id, count(*) AS n, CAST(0 AS BIGINT) AS n_bad FROM part GROUP BY 1")
+def unwrap_points(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    x, y = F.col("p_partkey") * 7919 % 1009 / 10, F.col("p_partkey") * 104729 % 997 / 10
+    p = p.select(F.col("p_size").cast("string").alias("frame_id"), F.col("p_partkey").alias("pid"), x.alias("x"), y.alias("y"), F.lit(0.1).alias("variance"))
+    p = p.withColumn("phase", ph.wrap(0.05 * F.col("x") + 0.04 * F.col("y")))
+    return _congruence(api.unwrap_points(p).join(p.select("frame_id", "pid", "phase"), ["frame_id", "pid"]), F.col("phase"), "frame_id")
