@@ -1,7 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are lower-cased runs of letters, digits and bytes beyond ASCII. The n-grams of the test items are looked up in
-every training text. Seeds that are rare in the training texts point at candidate passages: the text around a seed's
+every training text. Seeds that are rare in the training texts point at candidate passages, and so do common ones of an item
+that cover ``LEAST_WORDS`` of its words close together, as in a passage that many texts share. The text around a seed's
 diagonal is aligned with the whole item, word by word, so that copies with words changed, inserted or left out score
 too. The benchmark is the small side: its n-grams are broadcast up to ``MOST_WORDS`` words and, beyond, the items are
 handled in blocks of that size, each against all texts.
@@ -119,14 +120,39 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def supported(hits: list[tuple[int, int]], words: int, seed: int = SEED) -> set[int]:
+    """Diagonals of the common n-grams ``(position, place)`` of an item of ``words`` words that stand close together.
+
+    Stretches of four times the item's length, each overlapping the next by half, hold all n-grams of a copy; one counts
+    if its n-grams cover ``LEAST_WORDS`` words of the item (all of a shorter one).
+    """
+    stretch: dict[int, set[tuple[int, int]]] = defaultdict(set)
+    for at, place in hits:
+        block = at // (2 * words)
+        stretch[block].add((at, place))
+        stretch[block + 1].add((at, place))
+    out: set[int] = set()
+    for found in stretch.values():
+        covered = {w for _, place in found for w in range(place, min(place + seed, words))}
+        if len(covered) >= min(LEAST_WORDS, words):
+            out |= {at - place for at, place in found}
+    return out
+
+
 def copies(items: Items, rare: np.ndarray, body: bytes, seed: int = SEED, share: float = COPY) -> list[tuple[int, float, int, int]]:
     """``(item, share of its best score, first word, end word)`` of the items that a text holds a copy of."""
     ids = items.numbers(body)
     diagonals: dict[int, set[int]] = defaultdict(set)
+    common: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for at, gram in items.hits(ids, seed):
-        if rare[gram]:
-            for item, place in items.places[gram]:
+        for item, place in items.places[gram]:
+            if rare[gram]:
                 diagonals[item].add(at - place)
+            else:
+                common[item].append((at, place))
+    for item, hits in common.items():
+        if more := supported(hits, len(items.words[item]), seed):
+            diagonals[item] |= more
     out = []
     for item, found in sorted(diagonals.items()):
         own = items.words[item]
@@ -179,7 +205,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = MOST_WORDS)
     ``score`` is the alignment's share of the item's best score, at least ``COPY``; the words are the copy's place in
     the text (the best one). One row per document row and item; an item id with several texts gives the best of them
     each. An item without words, a null text or item and an empty table give no row. Items shorter than ``SEED`` words
-    are looked up whole. If none of an item's n-grams is rare, all of them are seeds. Other columns are not looked at.
+    are looked up whole. If none of an item's n-grams in the texts is rare, all of them are seeds. Other columns are not looked at.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("body")).where("body is not null")
@@ -191,7 +217,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = MOST_WORDS)
         counted = own.mapInArrow(_count_texts(shared), "gram long, texts long").groupBy("gram").agg(F.sum("texts").alias("texts")).collect()
         texts = {r["gram"]: r["texts"] for r in counted}
         limit = max(RARE_TEXTS, RARE_SHARE * texts.get(-1, 0))
-        rare = np.array([texts.get(g, 0) <= limit for g in range(len(items.grams))], bool)
+        rare = np.array([0 < texts.get(g, 0) <= limit for g in range(len(items.grams))], bool)
         with_rare = {item for g, p in enumerate(items.places) if rare[g] for item, _ in p}
         for g, p in enumerate(items.places):
             rare[g] |= any(item not in with_rare for item, _ in p)

@@ -244,6 +244,20 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_part_that_many_texts_share(spark):
+    """The n-grams of a shared part are common; those of the rest are in few texts or none and cannot point at it."""
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(400)]
+    filler = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    item, other = filler(30).split(), filler(20)
+    many = decontaminate.RARE_TEXTS + 15
+    texts = [f"{filler(40)} {' '.join(item[:24])} {filler(40)}" for _ in range(many)] + [" ".join(item[20:]), other] + [filler(60) for _ in range(5)]
+    docs = corpus(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, other)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(i, 0) for i in range(many)} | {(many + 1, 1)}
+
+
 def test_align_against_plain_smith_waterman():
     rng = random.Random(2)
     for _ in range(60):
