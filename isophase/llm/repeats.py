@@ -261,7 +261,7 @@ def repeated_ranges(docs: DataFrame, search: Search) -> DataFrame:
     spans = materialize(spans)
     cores = spans.groupBy("core").agg(F.count("*").alias("spans"), F.min("n").alias("least"), F.min("low").alias("core_low"), F.max("low").alias("core_high"))
     contested = "least = 1 and spans > 1" if search.any_other else "core_high > core_low"
-    cores = cores.select("core", F.expr(contested).alias("contested"), "core_low", (F.col("spans") > GROUP).alias("large"))
+    cores = materialize(cores.select("core", F.expr(contested).alias("contested"), "core_low", (F.col("spans") > GROUP).alias("large")))  # written as above
     open_span = F.expr("contested and n = 1" if search.any_other else "low > core_low")
     spans = materialize(spans.join(cores, "core").withColumn("open_span", open_span).drop("core_low"))
     repeated = (F.col("n") > 1) if search.any_other else (F.col("low") < order)
