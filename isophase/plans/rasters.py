@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isophase.functions.phase import wrap
+from isophase.operators.closure import TemporalGraph
 
 #: Pixels in a row of the derived raster; the noise put on its ramp (cycles appear from about 3 on); looks.
 WIDTH, NOISE, LOOKS = 125, 5.5, 5.0
+#: Days of ``events``, from 2024-01-01 on.
+DAYS = 30
 TAU = "6.283185307179586"
 
 
@@ -36,8 +39,13 @@ def orders_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(e, from_date, to_date, i, j, unw)``: interferograms between days one and two apart, one pixel per user.
+def day_pairs(days: int) -> TemporalGraph:
+    """Interferograms between days one and two apart."""
+    return TemporalGraph(days, tuple((a, b) for a in range(days) for b in (a + 1, a + 2) if b < days))
+
+
+def event_stack(spark: SparkSession, sf_dir: str, graph: TemporalGraph) -> DataFrame:
+    """``(e, from_date, to_date, i, j, unw)``: the interferograms of ``graph``, one pixel per user.
 
     The phase of a user and day is the sum of the user's values that day, a day without events being zero; it is
     wrapped in each interferogram.
@@ -45,10 +53,9 @@ def event_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _table(spark, sf_dir, "events")
     day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
     value = F.sum(F.round(F.col("value") * 1000).cast("long")) / 1000
-    per = ev.groupBy("user_id", day.alias("day")).agg(value.alias("theta")).where("day between 0 and 9")
+    per = ev.groupBy("user_id", day.alias("day")).agg(value.alias("theta")).where(F.col("day").between(0, graph.n_dates - 1))
     users = ev.select("user_id").distinct()
-    pairs = [(a, b) for a in range(10) for b in (a + 1, a + 2) if b < 10]
-    edges = spark.createDataFrame([(e, a, b) for e, (a, b) in enumerate(pairs)], "e int, from_date int, to_date int")
+    edges = spark.createDataFrame([(e, a, b) for e, (a, b) in enumerate(graph.edges)], "e int, from_date int, to_date int")
     at = lambda d, name: per.select(F.col("user_id").alias(f"u_{name}"), F.col("day").alias(d), F.col("theta").alias(name))
     s = users.crossJoin(F.broadcast(edges))
     for d, name in (("from_date", "a"), ("to_date", "b")):
@@ -85,6 +92,7 @@ CTE = {
  camp AS (SELECT c_name AS key, c_nationkey AS track, CAST(c_custkey % 50 AS INT) AS frame, CASE WHEN c_custkey % 2 = 0 THEN 'A' ELSE 'D' END AS direction,
    1 - CAST(((c % 2000) + 2000) % 2000 AS DOUBLE) / 10000 AS score, CAST(((c % 30000) + 30000) % 30000 AS DOUBLE) / 100 AS runtime_s, 1000000 + ((c % 7) + 7) % 7 * 250000 AS num_pixels, 512 + ((c % 11) + 11) % 11 * 128 AS peak_rss_mb FROM cents)""",
 }
+CTE["stack_all"] = CTE["stack"].replace("range(10)", f"range({DAYS})").replace("a + g < 10", f"a + g < {DAYS}")
 
 
 def sql(body: str, *names: str) -> str:

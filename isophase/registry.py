@@ -16,7 +16,7 @@ from isophase.operators import frames as fr
 from isophase.operators import stencil as st
 from isophase.operators import truth as tr
 from isophase.plans import tiled
-from isophase.plans.rasters import CTE, LOOKS, TAU, WIDTH, campaign, event_stack, orders_raster, sql
+from isophase.plans.rasters import CTE, DAYS, LOOKS, TAU, WIDTH, campaign, day_pairs, event_stack, orders_raster, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -263,7 +263,8 @@ def coherent_cut_rate(spark, sf_dir):
     return rate.select("frame_id", F.round(F.col("rate") / F.col("n"), 9).alias("rate"))
 
 
-_GRAPH = cl.TemporalGraph(10, tuple((a, b) for a in range(10) for b in (a + 1, a + 2) if b < 10))
+#: The first ten days, which the SQL of three queries is written for; their ``_all`` forms take every day.
+_GRAPH, _ALL = day_pairs(10), day_pairs(DAYS)
 
 
 def _signs(rows: list[tuple[int, int, int]], name: str) -> str:
@@ -272,32 +273,47 @@ def _signs(rows: list[tuple[int, int, int]], name: str) -> str:
 
 @_query("WITH " + CTE["stack"] + ", " + _signs(_GRAPH.cycles(), "loops") + f" SELECT i, CAST(max(abs(k)) AS INT) AS quality FROM (SELECT i, c, round(sum(s * unw) / {_D.format(TAU)}) AS k FROM stack JOIN loops USING (e) GROUP BY 1, 2) GROUP BY 1")
 def closure_quality(spark, sf_dir):
-    return cl.cycle_quality(event_stack(spark, sf_dir), _GRAPH).select("i", "quality")
+    return cl.cycle_quality(event_stack(spark, sf_dir, _GRAPH), _GRAPH).select("i", "quality")
+
+
+@_query("WITH " + CTE["stack_all"] + ", " + _signs(_ALL.cycles(), "loops") + f" SELECT i, CAST(max(abs(k)) AS INT) AS quality FROM (SELECT i, c, round(sum(s * unw) / {_D.format(TAU)}) AS k FROM stack JOIN loops USING (e) GROUP BY 1, 2) GROUP BY 1")
+def closure_quality_all(spark, sf_dir):
+    return cl.cycle_quality(event_stack(spark, sf_dir, _ALL), _ALL).select("i", "quality")
 
 
 @_query("WITH " + CTE["stack"] + ", " + _signs(_GRAPH.triangles(), "loops") + f" SELECT i, CAST(max(abs(k)) AS INT) AS quality FROM (SELECT i, c, round(sum(s * unw) / {_D.format(TAU)}) AS k FROM stack JOIN loops USING (e) GROUP BY 1, 2) GROUP BY 1")
 def triangle_quality(spark, sf_dir):
-    return cl.triangle_quality(event_stack(spark, sf_dir), _GRAPH).select("i", "quality")
+    return cl.triangle_quality(event_stack(spark, sf_dir, _GRAPH), _GRAPH).select("i", "quality")
+
 
+@_query("WITH " + CTE["stack_all"] + ", " + _signs(_ALL.triangles(), "loops") + f" SELECT i, CAST(max(abs(k)) AS INT) AS quality FROM (SELECT i, c, round(sum(s * unw) / {_D.format(TAU)}) AS k FROM stack JOIN loops USING (e) GROUP BY 1, 2) GROUP BY 1")
+def triangle_quality_all(spark, sf_dir):
+    return cl.triangle_quality(event_stack(spark, sf_dir, _ALL), _ALL).select("i", "quality")
 
-def _along() -> str:
-    tree = _GRAPH.spanning_tree()
+
+def _along(graph: cl.TemporalGraph) -> str:
+    tree = graph.spanning_tree()
     used = {e for _, e, _ in tree.values()}
-    path = {(d, e): s for d, e, s in _GRAPH.paths()}
-    rows = [(x, e, s) for x, (a, b) in enumerate(_GRAPH.edges) if x not in used for e in range(len(_GRAPH.edges)) if (s := path.get((b, e), 0) - path.get((a, e), 0))]
+    path = {(d, e): s for d, e, s in graph.paths()}
+    rows = [(x, e, s) for x, (a, b) in enumerate(graph.edges) if x not in used for e in range(len(graph.edges)) if (s := path.get((b, e), 0) - path.get((a, e), 0))]
     return f"along(x, e, s) AS (VALUES {', '.join(map(str, rows))})"
 
 
-@_query("WITH " + CTE["stack"] + ", " + _along() + f", p AS (SELECT x AS e, i, sum(s * unw) AS p FROM stack JOIN along USING (e) GROUP BY 1, 2) SELECT e, i, coalesce(CAST(round((unw - p) / {_D.format(TAU)}) AS INT), 0) AS k, round(unw - {_D.format(TAU)} * coalesce(round((unw - p) / {_D.format(TAU)}), 0), 6) + 0.0 AS corrected FROM stack LEFT JOIN p USING (e, i)")
+@_query("WITH " + CTE["stack"] + ", " + _along(_GRAPH) + f", p AS (SELECT x AS e, i, sum(s * unw) AS p FROM stack JOIN along USING (e) GROUP BY 1, 2) SELECT e, i, coalesce(CAST(round((unw - p) / {_D.format(TAU)}) AS INT), 0) AS k, round(unw - {_D.format(TAU)} * coalesce(round((unw - p) / {_D.format(TAU)}), 0), 6) + 0.0 AS corrected FROM stack LEFT JOIN p USING (e, i)")
 def closure_correct(spark, sf_dir):
-    return _round(cl.closure_correct(event_stack(spark, sf_dir), _GRAPH).select("e", "i", "k", "corrected"), 6, "corrected")
+    return _round(cl.closure_correct(event_stack(spark, sf_dir, _GRAPH), _GRAPH).select("e", "i", "k", "corrected"), 6, "corrected")
+
+
+@_query("WITH " + CTE["stack_all"] + ", " + _along(_ALL) + f", p AS (SELECT x AS e, i, sum(s * unw) AS p FROM stack JOIN along USING (e) GROUP BY 1, 2) SELECT e, i, coalesce(CAST(round((unw - p) / {_D.format(TAU)}) AS INT), 0) AS k, round(unw - {_D.format(TAU)} * coalesce(round((unw - p) / {_D.format(TAU)}), 0), 6) + 0.0 AS corrected FROM stack LEFT JOIN p USING (e, i)")
+def closure_correct_all(spark, sf_dir):
+    return _round(cl.closure_correct(event_stack(spark, sf_dir, _ALL), _ALL).select("e", "i", "k", "corrected"), 6, "corrected")
 
 
 @_query()
 def closure_refine(spark, sf_dir):
-    s = event_stack(spark, sf_dir)
+    s = event_stack(spark, sf_dir, _ALL)
     crlb = s.select("e", "i", "j", (1 + F.pmod(F.xxhash64("e", "i"), F.lit(100)) / 100).alias("variance"))
-    out = cl.closure_refine(s, _GRAPH, crlb)
+    out = cl.closure_refine(s, _ALL, crlb)
     return out.select("i", "violations", "iterations")
 
 
