@@ -2,7 +2,8 @@
 
 Every rolling word k-gram of a text is hashed and joined to the places of the same k-gram in the license templates. A
 match votes for the diagonal ``text position - template position``. Votes are counted per diagonal, neighbouring
-diagonals (a few words inserted or left out) are merged, and the span they cover is verified word by word.
+diagonals (a few words inserted or left out) are merged, in bands and in chains, and the span they cover is verified word
+by word.
 """
 
 from __future__ import annotations
@@ -86,9 +87,10 @@ def license_matches(docs: DataFrame, row_key: str = "row") -> DataFrame:
     same = F.slice(F.col("words"), F.col("pos") + 1, K) == F.slice(F.col("expected"), F.col("at") + 1, K)
     votes = votes.where(same).select(row_key, "template", "label", "is_base", "n", "diagonal", "pos", "at")
     one = votes.groupBy(row_key, "template", "label", "is_base", "n", "diagonal").agg(
-        F.count_distinct("at").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last")
-    )
-    return _exact(one, row_key).unionByName(_merged(one.where(~F.col("is_base") & (F.col("n") >= LONG)), row_key))
+        F.collect_set("at").alias("ats"), F.min("pos").alias("first"), F.max("pos").alias("last")
+    ).withColumn("votes", F.size("ats"))
+    long = one.where(~F.col("is_base") & (F.col("n") >= LONG))
+    return _exact(one, row_key).unionByName(_joined(_banded(long, row_key).unionByName(_merged(long, row_key)), row_key))
 
 
 def _exact(one: DataFrame, row_key: str) -> DataFrame:
@@ -97,6 +99,29 @@ def _exact(one: DataFrame, row_key: str) -> DataFrame:
     return full.select(row_key, "template", "label", "is_base", F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("n") - 1).alias("last"), F.lit(1.0).alias("share"))
 
 
+def _banded(one: DataFrame, row_key: str) -> DataFrame:
+    """Diagonals at most DRIFT above each diagonal as one match, whatever votes lie between; only parts of the template."""
+    by = Window.partitionBy(row_key, "template").orderBy("diagonal").rangeBetween(0, DRIFT)
+    all_ats = F.flatten(F.collect_list("ats").over(by))
+    bands = one.select(
+        row_key, "template", "label", "is_base", "n", F.size(F.array_distinct(all_ats)).alias("votes"), F.max("votes").over(by).alias("best"),
+        F.min("first").over(by).alias("from"), F.max("last").over(by).alias("to"),
+    )
+    share = F.col("votes") / (F.col("n") - (K - 1))
+    part = bands.withColumn("share", share).where((F.col("share") >= SHARE) & (F.col("best") < F.col("n") - (K - 1)))
+    return part.select(row_key, "template", "label", "is_base", F.col("from").alias("first"), (F.col("to") + K - 1).alias("last"), "share")
+
+
+def _joined(parts: DataFrame, row_key: str) -> DataFrame:
+    """Matches of a template that overlap as one, with the largest share."""
+    by = Window.partitionBy(row_key, "template").orderBy("first", "last")
+    reach = F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce((F.col("first") > reach).cast("int"), F.lit(0))
+    placed = parts.withColumn("new", new).withColumn("place", F.sum("new").over(by))
+    out = placed.groupBy(row_key, "template", "label", "is_base", "place").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("share").alias("share"))
+    return out.drop("place")
+
+
 def _merged(one: DataFrame, row_key: str) -> DataFrame:
     """Neighbouring diagonals as one match; the spans that are only a part of the template."""
     by = Window.partitionBy(row_key, "template").orderBy("first", "diagonal")
