@@ -1,0 +1,54 @@
+"""The near-duplicate stage against brute force over all pairs."""
+
+import random
+
+from isophase.llm import simhash
+
+SCHEMA = "doc_id long, text string, source string, name string, key long"
+
+
+def shingles(t):
+    w = (t or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def kept(rows):
+    parent = list(range(len(rows)))
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    sets = [shingles(t) for _, t in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                parent[root(i)] = root(j)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        low[root(i)] = min([x for x in (low.get(root(i)), d) if x is not None], default=None)
+    return sorted({d for i, (d, _) in enumerate(rows) if d is not None and low[root(i)] == d}), sum(d is None for d, _ in rows)
+
+
+def test_stage(spark):
+    rng = random.Random(5)
+    text = lambda n: [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(40)) for _ in range(n)]
+    boiler, texts = text(30), [None, "", " ", "one", "One", "a b c d", "a b c d e"]
+    for n in (12, 40, 120, 300):
+        for _ in range(3):
+            base = text(n) + boiler
+            texts.append(" ".join(base))
+            for edits in (0, 1, 2, 3, 4, 6, 8):
+                own = list(base)
+                for _ in range(edits):
+                    own[rng.randrange(n)] = "new" + str(rng.randrange(1000))
+                texts += [" ".join(own), " ".join(own[: len(own) * 9 // 10])]
+    rng.shuffle(texts)
+    rows = [(i if i % 9 else None, t) for i, t in enumerate(texts)] + [(4, texts[4]), (5, texts[20])]
+    docs = spark.createDataFrame([(d, t, "s", "n", 1) for d, t in rows], SCHEMA)
+    got = [r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()]
+    want, nulls = kept(rows)
+    assert sorted(d for d in got if d is not None) == want and got.count(None) == nulls
+
+
+def test_stage_without_rows(spark):
+    assert simhash.stage_simhash(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
