@@ -17,13 +17,16 @@ class Options:
     """``window``: box of the gradient smoothing; ``bridge``: move regions onto their neighbours; ``min_size`` and
     ``max_ncomps`` of components; ``interpolate`` and ``goldstein``: filters before solving, after which the cycles are
     transferred to the unfiltered phase; ``form`` of the costs: linear, convex, or grounded, which charges ``ground`` for a
-    unit that leaves the frame."""
+    unit that leaves the frame. ``reliability``, in inverse variances: edges where a cycle either way costs no more bound
+    components; ``thicken``: cuts are smoothed across, so that no thin bridge joins two sides."""
 
     window: tuple[int, int] = (7, 7)
     bridge: bool = True
     bridge_min_px: int = 500
     min_size: int = 100
     max_ncomps: int = 1024
+    reliability: float = 0.5
+    thicken: bool = True
     form: str = "linear"
     ground: int = 0
     interpolate: bool = False
@@ -78,7 +81,7 @@ def unwrap_arrays(phase, corr, mask, nlooks: float, options: Options = Options()
     c_h, c_v = _solve(filtered, corr, mask, nlooks, options)
     solved = filtered + mcf.TAU * mcf.integrate(filtered, c_h, c_v)
     unw = phase + mcf.TAU * np.rint((solved - phase) / mcf.TAU)
-    labels = mcf.label(mask, c_h != 0, c_v != 0)
+    labels = mcf.label(mask, *mcf.wiggle_cuts(phase, unw, corr, mask, nlooks, options.window, options.reliability, options.thicken))
     ids, size = np.unique(labels[labels > 0], return_counts=True)
     order = [i for s, i in sorted(zip(-size, ids, strict=True)) if -s >= options.min_size][: options.max_ncomps or None]
     final = np.zeros_like(labels)

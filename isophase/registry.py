@@ -537,14 +537,23 @@ def unwrap_tiled(spark, sf_dir):
     return _congruence(solved.join(p.select("frame_id", "i", "j", "psi"), ["frame_id", "i", "j"]), F.col("psi"), "frame_id")
 
 
+def _strips(spark, sf_dir):
+    strip = F.floor(F.col("i") / 30).cast("int")
+    return orders_raster(spark, sf_dir).select(strip.cast("string").alias("frame_id"), (F.col("i") - strip * 30).alias("i"), "j", "psi", "corr", "mask")
+
+
 @_query("SELECT CAST(i // 30 AS VARCHAR) AS frame_id, count(*) AS n, CAST(0 AS BIGINT) AS n_bad FROM pix WHERE mask GROUP BY 1", "pix")
 def unwrap_frames(spark, sf_dir):
-    strip = F.floor(F.col("i") / 30).cast("int")
-    p = orders_raster(spark, sf_dir).select(strip.cast("string").alias("frame_id"), (F.col("i") - strip * 30).alias("i"), "j", "psi", "corr", "mask")
+    p = _strips(spark, sf_dir)
     solved = api.unwrap(p, LOOKS, api.Options(bridge=False))
     return _congruence(solved.join(p.select("frame_id", "i", "j", "psi"), ["frame_id", "i", "j"]), F.col("psi"), "frame_id")
 
 
+@_query()
+def unwrap_components(spark, sf_dir):
+    return api.unwrap(_strips(spark, sf_dir), LOOKS).select("frame_id", "i", "j", "label")
+
+
 @_query("SELECT CAST(p_size AS VARCHAR) AS frame_id, count(*) AS n, CAST(0 AS BIGINT) AS n_bad FROM part GROUP BY 1")
 def unwrap_points(spark, sf_dir):
     p = _t(spark, sf_dir, "part")

@@ -95,6 +95,28 @@ def convex_costs(phase, corr, mask, nlooks: float, window=(7, 7)) -> tuple[np.nd
     return tuple(out)
 
 
+def wiggle_cuts(phase, unw, corr, mask, nlooks: float, window=(7, 7), reliability: float = 0.5, thicken: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Horizontal and vertical edges that bound components: where a cycle more or less than ``unw`` has costs no more than
+    ``reliability`` (in inverse variances), by the convex costs, or an end is masked; thickened across the edges."""
+    offset_h, weight_h, offset_v, weight_v = convex_costs(phase, corr, mask, nlooks, window)
+    threshold, out = round(reliability * 1e6), []  # a cost of 100 a variance, a cycle of 100 units
+    for axis, offset, weight in ((1, offset_h, weight_h), (0, offset_v, weight_v)):
+        both = np.delete(mask, 0, axis) & np.delete(mask, -1, axis)
+        k = np.rint((np.diff(np.where(mask, unw, 0), axis=axis) - wrap(np.diff(phase, axis=axis))) / TAU).astype(np.int64)
+        u = 100 * k - offset
+        rel = weight * (10000 - 200 * np.abs(u))
+        if not thicken:
+            out.append(~both | (rel <= threshold))
+            continue
+        strength = np.where(both, np.maximum(threshold - rel, 0), max(threshold, 0))
+        across = np.moveaxis(strength, 1 - axis, 0)
+        total, n = 2 * across, np.full(across.shape, 2)
+        total[1:], n[1:] = total[1:] + across[:-1], n[1:] + 1
+        total[:-1], n[:-1] = total[:-1] + across[1:], n[:-1] + 1
+        out.append(~both | np.moveaxis(2 * total >= n, 0, 1 - axis))
+    return out[0], out[1]
+
+
 def solve(supply: np.ndarray, costs: Costs) -> tuple[np.ndarray, np.ndarray]:
     """Cycles ``(c_h, c_v)`` of least cost that balance the supply: successive shortest paths with potentials.
 
