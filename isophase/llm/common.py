@@ -13,9 +13,11 @@ _CREATED: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; ``spark.checkpoint.dir``, or a temporary one where that is unset (local tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one on a local master; elsewhere an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="isophase-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/isophase-{spark.sparkContext.applicationId}"
@@ -43,9 +45,26 @@ def release(spark: SparkSession) -> None:
         pass
 
 
-def text_key(text: Column) -> Column:
-    """32 bits that tell apart documents sharing a ``doc_id``; a null text counts as empty."""
-    return F.hash(F.coalesce(text, F.lit("")))
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` wrote and that nothing reads any more, and let Spark clean their shuffles."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if shared_dir(spark).split(":", 1)[-1].lstrip("/") in folder:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()  # shuffle files go when the driver's references to them do
+
+
+def row_key(doc_id: Column, text: Column, names: tuple[str, str] = ("k1", "k2")) -> list[Column]:
+    """128 bits that name a row by its id and whole text, as two independently seeded 64-bit hashes.
+
+    Rows that share an id (null ids too) have different names if their texts differ; rows with the same id and text have
+    one name, and the operators give them equal results. A null text counts as empty.
+    """
+    body = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(F.lit(seed), doc_id.isNull(), doc_id, body).alias(name) for seed, name in zip((0x1F3D5B79, 0x2A4C6E80), names, strict=True)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from isophase.llm import components, debruijn, decontaminate, license_scan, mixing, preference, quality_dsir, repeats, simhash, suffix_dedup, url_filter, weak_rules
+from isophase.llm import components, debruijn, decontaminate, license_scan, mixing, preference, quality_dsir, simhash, suffix_dedup, url_filter, weak_rules
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, core long, fp long, key string"
 
@@ -35,9 +35,8 @@ def body(t):
     return (t or "").encode()
 
 
-@pytest.mark.parametrize("group", [repeats.GROUP, 1])
-def test_suffix_dedup(spark, rows, group, monkeypatch):
-    monkeypatch.setattr(repeats, "GROUP", group)
+@pytest.mark.parametrize("step", [suffix_dedup.STEP, 1])
+def test_suffix_dedup(spark, rows, step):
     count = Counter(b[i : i + 200] for _, t, _ in rows for b in [body(t)] for i in range(len(b) - 199))
     want = []
     for d, t, _ in rows:
@@ -47,14 +46,13 @@ def test_suffix_dedup(spark, rows, group, monkeypatch):
                 gone[i : i + 200] = b"\1" * 200
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         want.append((d, len(b), sum(gone), sum(g and not p for p, g in zip(b"\0" + gone, gone, strict=False)), hashlib.sha256(kept).hexdigest()))
-    got = suffix_dedup.suffix_dedup(corpus(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept").collect()
+    got = suffix_dedup.suffix_dedup(corpus(spark, rows), step=step).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept").collect()
     assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
     assert all(bytes(r.kept).decode() is not None for r in got)
 
 
-@pytest.mark.parametrize("group", [repeats.GROUP, 1])
-def test_substring_dedup(spark, rows, group, monkeypatch):
-    monkeypatch.setattr(repeats, "GROUP", group)
+@pytest.mark.parametrize("block", [debruijn.BLOCK, 7])
+def test_substring_dedup(spark, rows, block):
     order = lambda d: 1 << 62 if d is None else d
     first = {}
     for d, t, _ in rows:
@@ -71,7 +69,7 @@ def test_substring_dedup(spark, rows, group, monkeypatch):
                 gone[i : i + 50] = [True] * 50
         kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
         want.append((d, len(w), sum(gone), hashlib.sha256(kept).hexdigest()))
-    got = debruijn.substring_dedup(corpus(spark, rows)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    got = debruijn.substring_dedup(corpus(spark, rows), block=block).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
