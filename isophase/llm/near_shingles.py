@@ -1,10 +1,14 @@
-"""Near-duplicates by the exact similarity of word shingles.
+"""Near-duplicates by the exact similarity of word shingles, as a second look after the fingerprints.
 
 Documents whose sets of ``WORDS``-word shingles have a Jaccard similarity of 0.8 or more are linked; a component is a set
 of documents reachable by links. Two such sets share a shingle in the first fifth of either, in any order that is the
 same for all sets, so only documents that share one there are compared, and no link is missed. Shingles that a sample
-finds often come last in the order, which keeps the groups of documents that share one small. A group's documents are
-first compared with one of them; only those still apart are then compared in pairs.
+finds often come last in the order, which keeps the groups of documents that share one small.
+
+A group is never listed in one place. All of its documents are compared with one of them. Where it then still has several
+components, rounds follow: about ``BLOCK`` documents outside its largest component are compared with all others of the
+group, until every one of them was or the group is one component. So a round makes a group's size times a constant of
+pairs, and none within a component.
 """
 
 from __future__ import annotations
@@ -14,14 +18,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, row_key
 from .components import connected_components
 
-#: Words in a shingle. Documents in the sample, and most of its shingles that are ranked.
-WORDS, SAMPLE, RANKED = 5, 4000, 100_000
+#: Words in a shingle. Documents in the sample, and most of its shingles that are ranked. Documents of a group that are
+#: compared with the others in a round.
+WORDS, SAMPLE, RANKED, BLOCK = 5, 4000, 100_000, 64
 
 
 def shingle_set(body: bytes) -> np.ndarray:
@@ -52,10 +57,10 @@ def _prefixes(often: np.ndarray, times: np.ndarray):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py()) for t in batch.column(2)]
+            sets = [shingle_set(t.as_py()) for t in batch.column(4)]
             names = pa.array(np.array([_name(s) for s in sets], np.uint64).view(np.int64))
             first = pa.array([prefix(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names, pa.array(list(map(len, sets)), pa.int32()), first], names=["doc_id", "key", "name", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4)), names, pa.array(list(map(len, sets)), pa.int32()), first], names=["doc_id", "k1", "k2", "key", "name", "size", "prefix"])
 
     return work
 
@@ -67,69 +72,55 @@ def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([names, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["name", "own"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``(a, b, own)`` sorted so that the set of ``a`` comes before those that it is compared with."""
-    pivot, mine = None, np.empty(0, np.uint64)
-    for batch in batches:
-        a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        own, links = batch.column(2), []
-        for x in range(len(a)):
-            s = own[x].values.to_numpy(zero_copy_only=False).view(np.uint64)
-            if a[x] == b[x]:
-                pivot, mine = a[x], s.copy()
-            elif a[x] == pivot and 9 * len(np.intersect1d(mine, s, assume_unique=True)) >= 4 * (len(mine) + len(s)):
-                links.append((a[x], b[x]))
-        pairs = np.array(links, np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
-
-
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = materialize(pairs)
-    others = pairs.join(sets, F.col("b") == F.col("name")).select("a", "b", "own", F.lit(1).alias("turn"))
-    pivots = pairs.select("a").distinct().join(sets, F.col("a") == F.col("name")).select("a", F.col("a").alias("b"), "own", F.lit(0).alias("turn"))
-    dealt = others.union(pivots).repartition(n, "a").sortWithinPartitions("a", "turn").select("a", "b", "own")
-    return materialize(dealt.mapInArrow(_verify, "a long, b long"))
-
-
-def _close(x: str, y: str) -> Column:
-    """Sizes that sets of similarity 0.8 can have."""
-    return F.least(x, y) * 5 >= F.greatest(x, y) * 4
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs(a, b)`` with a similarity of 0.8 or more; joins of written tables, which are split where one key is hot."""
+    x, y = (sets.select(F.col("name").alias(c), F.col("own").alias(f"own_{c}"), F.size("own").alias(f"n_{c}")) for c in "ab")
+    both = materialize(pairs).join(x, "a").join(y, "b").where(F.least("n_a", "n_b") * 5 >= F.greatest("n_a", "n_b") * 4)
+    return materialize(both.where(F.size(F.array_intersect("own_a", "own_b")) * 9 >= (F.col("n_a") + F.col("n_b")) * 4).select("a", "b"))
 
 
 def near_components(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs(doc_id, text, ...)``: ``doc_id, component_id``, the smallest non-null id of the component,
-    null if it has none. A null text counts as empty; all texts without words are alike. Other columns are not looked at.
+    """One row per row of ``docs(doc_id, text, ...)``: ``doc_id, k1, k2, root``.
+
+    ``k1, k2`` name the row; rows with one ``root`` are one component. A null text counts as empty; all texts without words
+    are alike. Other columns are not looked at; an empty table gives an empty result.
     """
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("key"), body.alias("body"))
+    doc = F.col("doc_id").cast("long")
+    own = docs.select(doc.alias("doc_id"), *row_key(doc, F.col("text")), F.xxhash64(body).alias("key"), body.alias("body"))
     parts = max(1, own.count() // SAMPLE)
     seen = own.where(F.pmod("key", F.lit(parts)) == 0).select("body").mapInArrow(_full, "name long, own array<long>").dropDuplicates(["name"])
     seen = seen.select(F.explode("own").alias("h")).groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(RANKED).toPandas()
     often, times = seen["h"].to_numpy(np.int64).view(np.uint64), seen["count"].to_numpy(np.int64)
     rank = np.argsort(often)
-    named = materialize(own.mapInArrow(_prefixes(often[rank], times[rank]), "doc_id long, key long, name long, size int, prefix array<long>"))
-    distinct = named.dropDuplicates(["name"])
-
-    shared = distinct.select("name", "size", F.explode("prefix").alias("h")).groupBy("h").agg(F.array_sort(F.collect_list(F.struct("name", "size"))).alias("group"))
-    groups = materialize(shared.where(F.size("group") > 1).select("group", F.xxhash64("group").alias("g")).dropDuplicates(["g"]))
-    member = groups.select("g", F.col("group")[0].alias("p"), F.explode("group").alias("m")).select("g", "p", F.col("m.name").alias("name"), F.col("m.size").alias("size"))
-
+    named = materialize(own.mapInArrow(_prefixes(often[rank], times[rank]), "doc_id long, k1 long, k2 long, key long, name long, size int, prefix array<long>"))
+    distinct = materialize(named.groupBy("name").agg(F.first("key").alias("key"), F.first("prefix").alias("prefix")))
+    member = distinct.select("name", F.explode("prefix").alias("h"))
+    group = materialize(member.groupBy("h").agg(F.count("*").alias("n"), F.min("name").alias("p")).where("n > 1").select("h", "p"))
+    member = materialize(member.join(group, "h"))
     wanted = distinct.join(member.select("name").distinct(), "name", "left_semi").select("key").distinct()
-    sets = materialize(own.join(wanted, "key", "left_semi").dropDuplicates(["key"]).select("body").mapInArrow(_full, "name long, own array<long>").dropDuplicates(["name"]))
-
-    first = member.where((F.col("name") != F.col("p.name")) & _close("size", "p.size")).select(F.col("p.name").alias("a"), F.col("name").alias("b")).distinct()
-    links = _links(first, sets)
+    sets = own.join(wanted, "key", "left_semi").dropDuplicates(["key"]).select("body").mapInArrow(_full, "name long, own array<long>")
+    sets = materialize(sets.dropDuplicates(["name"]))
+    links = _verified(member.where("name <> p").select(F.col("p").alias("a"), F.col("name").alias("b")).distinct(), sets)
     comp = materialize(connected_components(links))
-
-    placed = member.join(comp, F.col("name") == F.col("node"), "left").select("g", "name", "size", F.coalesce("root", "name").alias("root"))
-    apart = placed.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
-    placed = materialize(placed.join(apart, "g", "left_semi"))
-    other = placed.select("g", *(F.col(c).alias(f"{c}_") for c in ("name", "size", "root")))
-    rest = placed.join(other, "g").where((F.col("name") < F.col("name_")) & (F.col("root") != F.col("root_")) & _close("size", "size_"))
-    rest = rest.select(F.col("name").alias("a"), F.col("name_").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    comp = materialize(connected_components(links.union(_links(rest, sets))))
-
-    rooted = named.select("doc_id", "name").join(comp, F.col("name") == F.col("node"), "left").select("doc_id", F.coalesce("root", "name").alias("root"))
-    low = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(low, "root").select("doc_id", "component_id")
+    done = None  # (h, name): documents that were compared with all others of their group
+    for turn in range(1 << 30):
+        placed = member.join(comp, F.col("name") == F.col("node"), "left").select("h", "name", F.coalesce("root", "name").alias("root"))
+        placed = materialize(placed.join(done, ["h", "name"], "left_anti") if done is not None else placed)
+        apart = placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
+        placed = materialize(placed.join(materialize(apart), "h"))
+        classes = placed.groupBy("h", "root").agg(F.count("*").alias("n"))
+        most = materialize(classes.groupBy("h").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("total")).select("h", "total", "most.*"))
+        if most.isEmpty():
+            break
+        chance = F.pmod(F.xxhash64("name", F.lit(turn)), F.lit(1 << 20)) * (F.col("total") - F.col("n")) < (BLOCK << 20)
+        turns = placed.withColumnRenamed("root", "root_a").join(most, "h").where((F.col("root_a") != F.col("root")) & chance)
+        turns = materialize(turns.select("h", F.col("name").alias("a"), "root_a"))
+        pairs = turns.join(placed.select("h", F.col("name").alias("b"), "root"), "h").where("root_a <> root")
+        links = links.union(_verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets))
+        comp = materialize(connected_components(links))
+        now = turns.select("h", F.col("a").alias("name"))
+        done = materialize(now if done is None else done.union(now))
+
+    rooted = named.select("doc_id", "k1", "k2", "name").join(comp, F.col("name") == F.col("node"), "left")
+    return rooted.select("doc_id", "k1", "k2", F.coalesce("root", "name").alias("root"))

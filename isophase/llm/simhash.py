@@ -2,35 +2,42 @@
 
 Fingerprints within ``RADIUS`` bits of each other are linked; a component is a set of documents reachable by links.
 
-Method: distinct fingerprints are routed through a forest of vantage-point trees. Two levels split by the Hamming
-distance to a vantage point, at half the bits; a fingerprint within ``RADIUS`` below a split is also sent across it, so
-by the triangle inequality every linked pair meets in some shard. Distances between random 64-bit fingerprints crowd
-around 32, where such bounds prune little, so the trees are also keyed by blocks of the bits: two fingerprints that
-differ in at most four bits agree in one of five blocks, which is the distance in that block with a search radius of
-zero. Within a shard a local vantage-point tree goes on until its leaves are small and compares there exactly. A shard
-returns a spanning forest of its links, never all pairs, and components are joined by star contraction in Spark.
+Method: distinct fingerprints are routed through vantage-point trees. A node's vantage point is one of its fingerprints,
+chosen by hash; the node is split at the median Hamming distance to it, which a histogram of the at most 65 distances
+gives; a fingerprint within ``RADIUS`` below the split is also sent across it, so by the triangle inequality every linked
+pair meets in some shard. Distances between random 64-bit fingerprints crowd around 32, where such bounds prune little (a
+level leaves 0.7 of a shard and repeats 0.4 of it). So after ``LEVELS`` levels the branches are keyed by blocks of the bits
+too: fingerprints that differ in at most ``RADIUS`` of ``m`` blocks agree in ``m - RADIUS`` of them, which is a distance of
+zero there; ``m`` grows with the number of fingerprints, so that shards of unrelated ones stay small. Shards above
+``SHARD`` go on being split by vantage points in Spark. In a shard, a local tree goes on until its leaves are small and
+compares there exactly. A shard returns a spanning forest of its links, never all pairs, and components are joined by
+star contraction in Spark.
+
+A cluster whose fingerprints are all so close together that no vantage point parts it is dealt out in chunks of ``SHARD``,
+each pair of which is compared in a task of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, row_key
 from .components import connected_components
-from .near_shingles import near_components
+from .near_shingles import WORDS, near_components
 
 #: Words in a shingle, hash seed, and the most bits in which linked fingerprints differ.
 SHINGLE, SEED, RADIUS = 4, 42, 4
 BITS = 64
-#: Vantage points of the first and, below and above it, of the second level.
-VANTAGE = (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x9E6C63D0676A9A99)
-LEAF = 256
+#: Levels of vantage points above the blocks; most fingerprints of a shard, and of a leaf of its local tree; a split that
+#: leaves more than this share of a shard on one side is none.
+LEVELS, SHARD, LEAF, PARTED = 2, 1 << 15, 256, 0.9
 
 
 def fingerprint(body: bytes, shingle: int = SHINGLE) -> int:
@@ -56,42 +63,79 @@ def fingerprint(body: bytes, shingle: int = SHINGLE) -> int:
 def _fingerprints(shingle: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in batch.column(3)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(fp.view(np.int64))], names=["doc_id", "k1", "k2", "fp"])
 
     return work
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)`` per row of ``docs``; a null text counts as empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("body")).mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    """``(doc_id, k1, k2, fp)`` per row of ``docs``; a null text counts as empty."""
+    doc, text = F.col("doc_id").cast("long"), F.col("text")
+    return docs.select(doc.alias("doc_id"), *row_key(doc, text), text.cast("binary").alias("body")).mapInArrow(_fingerprints(shingle), "doc_id long, k1 long, k2 long, fp long")
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def blocks_for(n: int, radius: int = RADIUS, shard: int = SHARD) -> int:
+    """Fewest blocks of the bits such that ``n`` random fingerprints have about ``shard`` or fewer that agree in all but ``radius``."""
+    m = radius + 1
+    while m < BITS and n / 2 ** (BITS * (m - radius) / m) > shard:
+        m += 1
+    return m
 
 
-def _distance(v: int) -> Column:
-    return F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(v)).cast("long")))
+def block_keys(m: int, radius: int = RADIUS) -> list[Column]:
+    """A key for each choice of ``m - radius`` blocks: the bits of ``fp`` in them."""
+    edge = [round(i * BITS / m) for i in range(m + 1)]
+    mask = [((1 << (b - a)) - 1) << a for a, b in zip(edge, edge[1:], strict=False)]
+    chosen = [sum(mask[i] for i in c) for c in combinations(range(m), m - radius)]
+    return [F.xxhash64("shard", F.lit(i), F.col("fp").bitwiseAND(F.lit(x - (1 << BITS) if x >> (BITS - 1) else x).cast("long"))) for i, x in enumerate(chosen)]
 
 
-def shards(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``(shard, fp)``: every fingerprint in each shard that it belongs to or borders on."""
-    half = BITS // 2
-    first = fps.select("fp", F.explode(_sides(_distance(VANTAGE[0]), half, radius)).alias("s0"))
-    second = F.when(F.col("s0") == 0, _distance(VANTAGE[1])).otherwise(_distance(VANTAGE[2]))
-    leaf = first.select("fp", "s0", F.explode(_sides(second, half, radius)).alias("s1"))
-    blocks, width = radius + 1, -(-BITS // (radius + 1))
-    keys = [
-        F.lit(b << 52) + F.shiftrightunsigned(F.col("fp"), b * width).bitwiseAND(F.lit((1 << width) - 1)) * 4 + F.col("s0") * 2 + F.col("s1")
-        for b in range(blocks)
-    ]
-    return leaf.select("fp", F.explode(F.array(*keys)).alias("shard"))
+def _level(rows: DataFrame, radius: int, most: int, turn: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """One level of vantage points for the shards of ``rows(shard, fp)`` with over ``most`` fingerprints.
 
-
-def _sides(d: Column, mu: int, radius: int) -> Column:
-    """Below the split 0, above 1; within the radius below it both."""
-    return F.when(d >= mu, F.array(F.lit(1))).when(d >= mu - radius, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    Gives the rows of the other shards, the two sides of those that were split, and the rows of those that no vantage
+    point parts with their number ``n``; None if no shard is that large.
+    """
+    size = materialize(rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > most))
+    if size.isEmpty():
+        return None
+    large = rows.join(size, "shard")
+    point = large.groupBy("shard").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), "fp")).alias("v")).select("shard", F.col("v.fp").alias("v"))
+    placed = materialize(large.join(materialize(point), "shard").select("shard", "fp", "n", F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))).alias("d")))
+    by = Window.partitionBy("shard").orderBy("d")  # at most 65 rows of a shard
+    spread = placed.groupBy("shard", "n", "d").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(by))
+    middle = spread.groupBy("shard", "n").agg(F.min(F.when(F.col("upto") * 2 >= F.col("n"), F.col("d"))).alias("mu"), F.collect_list(F.struct("d", "c")).alias("all"))
+    above = F.aggregate(F.filter("all", lambda x: x["d"] >= F.col("mu") - radius), F.lit(0).cast("long"), lambda t, x: t + x["c"])
+    plan = materialize(middle.select("shard", "mu", (above <= F.col("n") * PARTED).alias("parted")))
+    known = placed.join(plan, "shard")
+    near, far = F.col("d") < F.col("mu"), F.col("d") >= F.col("mu") - radius
+    sides = F.filter(F.array(F.when(near, 0), F.when(far, 1)), lambda x: x.isNotNull())
+    split = known.where("parted").select(F.col("shard").alias("of"), "fp", F.explode(sides).alias("side")).select(F.xxhash64("of", "side").alias("shard"), "fp")
+    return rows.join(size, "shard", "left_anti"), split, known.where("not parted").select("shard", "fp", "n")
+
+
+def shards(fps: DataFrame, radius: int = RADIUS, levels: int = LEVELS, most: int = SHARD) -> DataFrame:
+    """``(shard, fp)``: every fingerprint of the distinct ones ``fps(fp)`` in each shard that it belongs to or borders on."""
+    rows = fps.select(F.lit(0).cast("long").alias("shard"), "fp")
+    for turn in range(levels):
+        got = _level(rows, radius, LEAF, turn)
+        if got is None:
+            break
+        rows = materialize(got[0].union(got[1]).union(got[2].select("shard", "fp")))
+    m = blocks_for(fps.count(), radius, most)
+    rows = materialize(rows.select(F.explode(F.array(*block_keys(m, radius))).alias("shard"), "fp"))
+    done, turn = [], levels
+    while (got := _level(rows, radius, most, turn)) is not None:
+        done.append(materialize(got[0]))
+        chunks = F.ceil(F.col("n") / most)
+        own = F.pmod(F.xxhash64("fp", F.lit("chunk")), chunks)
+        pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.xxhash64("shard", F.least(own, j), F.greatest(own, j)))
+        done.append(materialize(got[2].select(F.explode(pairs).alias("shard"), "fp")))
+        rows, turn = materialize(got[1]), turn + 1
+    for part in done:
+        rows = rows.union(part)
+    return rows
 
 
 def _spanning(pairs: Iterator[tuple[int, int]], fps: np.ndarray) -> list[tuple[int, int]]:
@@ -128,7 +172,7 @@ def local_links(fps: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) -> list
         d = np.bitwise_count(x ^ x[0]).astype(np.int16)
         mu = int(np.median(d))
         below, above = x[d < mu], x[d >= mu - radius]
-        if len(above) > 0.9 * len(x):
+        if len(above) > PARTED * len(x):
             out += _sweep(x, radius)
         else:
             todo += [below, above]
@@ -189,21 +233,26 @@ def link_components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return connected_components(links)
 
 
+def row_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``(doc_id, k1, k2, fp, root)`` per row of ``docs``: rows with one ``root``, a fingerprint, are one component."""
+    own = materialize(fingerprints(docs, shingle))
+    distinct = materialize(own.select("fp").distinct())
+    comp = distinct.join(link_components(distinct, radius), F.col("fp") == F.col("node"), "left")
+    comp = materialize(comp.select(F.col("fp").alias("f"), F.coalesce("root", "fp").alias("root")))
+    return own.join(comp, F.col("fp") == F.col("f")).select("doc_id", "k1", "k2", "fp", "root")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)``: ``doc_id, fingerprint, component_id``.
 
     Words are lower-cased (A-Z); a text of fewer than ``shingle`` words is one shingle; one without words, or null, has
     fingerprint zero and links like any other. ``component_id`` is the smallest non-null id of the component, null if
-    it has none. Repeated rows stay; other columns are not looked at.
+    it has none. Repeated rows stay; other columns are not looked at; an empty table gives an empty result.
     """
-    own = materialize(fingerprints(docs, shingle))
-    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    comp = distinct.join(link_components(distinct.select("fp"), radius), F.col("fp") == F.col("node"), "left")
-    comp = materialize(comp.select("fp", "low", F.coalesce("root", "fp").alias("root")))
-    low = comp.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = materialize(comp.join(low, "root").select(F.col("fp").alias("f"), "component_id"))
+    rows = materialize(row_components(docs, shingle, radius))
+    low = materialize(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return own.join(named, F.col("fp") == F.col("f")).select("doc_id", text.alias("fingerprint"), "component_id")
+    return rows.join(low, "root").select("doc_id", text.alias("fingerprint"), "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,11 +260,23 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one with the smallest id; documents without an id all stay.
+    """One row of each group of near-duplicates stays: the one with the smallest id (null last) and, among different texts
+    of that id, the one with the smallest name. Of rows with the same id and text one stays, any of them if others differ.
 
-    Components are of documents with a similarity of 0.8 or more of their 5-word shingles, compared exactly: op1's
-    fingerprints within ``RADIUS`` bits miss most pairs below 0.9.
+    First look: fingerprints of 5-word shingles within ``RADIUS`` bits. Those miss most pairs with a similarity below 0.9,
+    so a second look links documents whose 5-word shingles have a similarity of 0.8 or more, compared exactly
+    (:mod:`.near_shingles`). A group is what links of either kind connect.
     """
-    keep = near_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__d")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("__d"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    rows = materialize(row_components(docs, WORDS).select("doc_id", "k1", "k2", F.col("root").alias("seen")))
+    near = materialize(near_components(docs).distinct())
+    both = materialize(near.join(rows.select("k1", "k2", "seen").distinct(), ["k1", "k2"]))
+    low = materialize(both.groupBy("seen").agg(F.min("root").alias("low")))
+    edges = both.select("seen", "root").distinct().join(low, "seen").where("root <> low").select(F.col("root").alias("a"), F.col("low").alias("b"))
+    comp = materialize(connected_components(edges).withColumnRenamed("root", "top"))
+    grouped = both.join(comp, F.col("root") == F.col("node"), "left").withColumn("top", F.coalesce("top", "root"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
+    keep = materialize(grouped.groupBy("top").agg(F.min(order).alias("low")).select("low.k1", "low.k2"))
+    inner = docs.select(F.struct(*docs.columns).alias("row"), *row_key(F.col("doc_id").cast("long"), F.col("text")))
+    # rows of one name are the same document: all but one of them go, which a partial aggregation does before the shuffle
+    content = F.xxhash64(*(F.col("row")[c].cast("string") for c in docs.columns))
+    return inner.join(keep, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min_by("row", content).alias("row")).select("row.*")

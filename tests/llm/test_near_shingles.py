@@ -2,7 +2,9 @@
 
 import random
 
-from isophase.llm import simhash
+import pytest
+
+from isophase.llm import near_shingles, simhash
 
 SCHEMA = "doc_id long, text string, source string, name string, key long"
 
@@ -12,24 +14,27 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
 
-def kept(rows):
+def kept(rows, fingerprints=True):
     parent = list(range(len(rows)))
 
     def root(i):
         return i if parent[i] == i else root(parent[i])
 
     sets = [shingles(t) for _, t in rows]
+    prints = [simhash.fingerprint((t or "").encode(), 5) for _, t in rows]
     for i in range(len(rows)):
         for j in range(i):
-            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            near = fingerprints and (prints[i] ^ prints[j]).bit_count() <= 4
+            if near or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                 parent[root(i)] = root(j)
     low = {}
-    for i, (d, _) in enumerate(rows):
-        low[root(i)] = min([x for x in (low.get(root(i)), d) if x is not None], default=None)
-    return sorted({d for i, (d, _) in enumerate(rows) if d is not None and low[root(i)] == d}), sum(d is None for d, _ in rows)
+    for i, (d, t) in enumerate(rows):
+        low[root(i)] = min(low.get(root(i), (True, 0, "")), (d is None, d or 0, t or ""), key=lambda x: x[:2])
+    return sorted((no_id, d) for no_id, d, _ in low.values())
 
 
-def test_stage(spark):
+@pytest.mark.parametrize("block", [64, 1])
+def test_stage(spark, block, monkeypatch):
     rng = random.Random(5)
     text = lambda n: [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(40)) for _ in range(n)]
     boiler, texts = text(30), [None, "", " ", "one", "One", "a b c d", "a b c d e"]
@@ -45,9 +50,37 @@ def test_stage(spark):
     rng.shuffle(texts)
     rows = [(i if i % 9 else None, t) for i, t in enumerate(texts)] + [(4, texts[4]), (5, texts[20])]
     docs = spark.createDataFrame([(d, t, "s", "n", 1) for d, t in rows], SCHEMA)
-    got = [r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()]
-    want, nulls = kept(rows)
-    assert sorted(d for d in got if d is not None) == want and got.count(None) == nulls
+    monkeypatch.setattr(near_shingles, "BLOCK", block)
+    want = kept(rows)
+    for parts in (1, 3):
+        got = simhash.stage_simhash(spark, docs.repartition(parts), "").collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == want
+        assert got[0].asDict().keys() == set(docs.columns)
+
+
+def test_second_look_against_all_pairs(spark):
+    """Components of documents that share frequent shingles but are not alike, and of chains of near copies."""
+    rng = random.Random(8)
+    word = lambda: "v" + str(rng.randrange(60))
+    boiler = [word() for _ in range(12)]
+    texts = [" ".join(boiler + [word() for _ in range(rng.choice([3, 6]))]) for _ in range(60)]
+    chain = [word() for _ in range(100)]
+    for i in range(12):
+        chain = chain[3:] + [word() for _ in range(3)]
+        texts.append(" ".join(chain))
+    docs = spark.createDataFrame([(i, t, "s", "n", 1) for i, t in enumerate(texts)], SCHEMA)
+    low = {}
+    for r in near_shingles.near_components(docs).collect():
+        low[r.root] = min(r.doc_id, low.get(r.root, r.doc_id))
+    assert sorted(low.values()) == [d for _, d in kept(list(enumerate(texts)), fingerprints=False)]
+
+
+def test_rows_of_one_id_with_different_texts_stay(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, a, "s", "n", 1), (5, a, "s", "n", 1), (5, b, "s", "n", 1), (5, b, "t", "n", 1), (None, b, "s", "n", 1)], SCHEMA)
+    for parts in (1, 2, 3):
+        got = simhash.stage_simhash(spark, docs.repartition(parts), "").collect()
+        assert sorted((r.doc_id, r.text) for r in got) == [(1, a), (5, b)]
 
 
 def test_stage_without_rows(spark):
