@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from isophase.llm import components, debruijn, decontaminate, license_scan, mixing, preference, quality_dsir, simhash, suffix_dedup, url_filter, weak_rules
 
@@ -98,6 +99,7 @@ def test_simhash(spark, rows):
     want = [(d, f"{fps[i]:016x}", low[root(i)]) for i, (d, _, _) in enumerate(rows)]
     got = simhash.near_duplicates(corpus(spark, rows)).collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert simhash.near_duplicates(corpus(spark, [])).count() == 0
 
 
 def test_local_links_of_clusters_and_noise():
@@ -123,6 +125,33 @@ def test_local_links_of_clusters_and_noise():
     assert classes(simhash.local_links(fps, leaf=32)) == classes(zip(fps[i].tolist(), fps[j].tolist(), strict=True))
 
 
+@pytest.mark.parametrize("levels,most", [(0, 1 << 15), (2, 1 << 15), (2, 40), (0, 5)])
+def test_shards_hold_every_link(spark, levels, most):
+    """Noise and tight clusters: whatever the levels and the size of shards, linked fingerprints meet in one."""
+    rng = np.random.default_rng(5)
+    seeds = rng.integers(0, 1 << 63, 400, np.uint64)
+    bit = lambda shape: np.uint64(1) << rng.integers(0, 64, shape).astype(np.uint64)
+    near = (seeds[:2, None] ^ bit((2, 150)) ^ bit((2, 150)) ^ bit((2, 150))).ravel()
+    fps = np.unique(np.concatenate([seeds, near]))
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    groups = {}
+    for r in simhash.shards(df, levels=levels, most=most).collect():
+        groups.setdefault(r.shard, set()).add(r.fp)
+    i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4, 1))
+    where = {}
+    for k, g in groups.items():
+        for x in g:
+            where.setdefault(x, set()).add(k)
+    signed = fps.view(np.int64).tolist()
+    assert len(i) > 300 and all(where[signed[a]] & where[signed[b]] for a, b in zip(i.tolist(), j.tolist(), strict=True))
+    assert set(where) == set(signed) and max(map(len, groups.values())) <= max(3 * most, simhash.LEAF)
+
+
+def test_blocks_grow_with_the_number_of_fingerprints():
+    assert simhash.blocks_for(10) == 5 and simhash.blocks_for(10**9) == 6 and simhash.blocks_for(10**12) > 6
+    assert len(simhash.block_keys(6)) == 15
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 105), (105, 100), (7, 7), (105, 103)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -218,10 +247,42 @@ def test_quality_rules(spark, rows):
     assert weak_rules.quality_rules(corpus(spark, [])).count() == 0
 
 
+def pattern(votes):
+    return int("".join("012"["agb".index(v)] for v in votes), 3)
+
+
 def test_weak_supervision_separates():
-    good, bad = int("11111111", 3), [int("12111111", 3), int("11112211", 3)]
-    post = weak_rules.fit(np.array([good, *bad]), np.array([900.0, 50.0, 50.0]))
-    assert post[0] > 0.9 and post[1] < 0.5 and post[2] < 0.5
+    """Junk that two rules see goes; what one rule sees alone stays, which all-must-pass would drop."""
+    seen = {"gggggggggg": 900, "bbgggggggg": 30, "gggbbggbgg": 40, "gagggggggg": 20, "gggggggggb": 10}
+    post = dict(zip(seen, weak_rules.fit(np.array([pattern(v) for v in seen]), np.array(list(seen.values()), float)), strict=True))
+    assert post["gggggggggg"] > 0.99 and post["gagggggggg"] > 0.9 and post["gggggggggb"] > 0.5
+    assert post["bbgggggggg"] < 0.1 and post["gggbbggbgg"] < 0.1
+
+
+@pytest.mark.parametrize("size", [1, 1000])
+def test_weak_supervision_when_most_documents_fire_one_rule(size):
+    seen = {"gggggggggg": 350 * size, "bggggggggg": 600 * size, "ggbbbggggg": 50 * size}
+    post = weak_rules.fit(np.array([pattern(v) for v in seen]), np.array(list(seen.values()), float))
+    assert post[0] > 0.9 and post[1] > 0.9 and post[2] < 0.1
+
+
+def test_weak_supervision_learns_from_the_data():
+    """The same pattern is kept or not by what its votes go together with elsewhere: without the rounds both are equal."""
+    often, seldom = {"gggggggggg": 900, "ggbbgggggg": 80, "ggbggggggg": 4}, {"gggggggggg": 900, "ggbbgggggg": 1, "ggbggggggg": 80}
+    got = [dict(zip(x, weak_rules.fit(np.array([pattern(v) for v in x]), np.array(list(x.values()), float)), strict=True)) for x in (often, seldom)]
+    assert got[0]["ggbbgggggg"] < 0.1 and got[1]["ggbggggggg"] > 0.9
+    assert got[0]["ggbggggggg"] < got[1]["ggbggggggg"]
+
+
+def test_quality_rules_against_labels(spark):
+    """Better than all-must-pass on labelled documents: no more junk kept, and clean documents kept that it drops."""
+    folder = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = {r.doc_id: r.kept for r in weak_rules.quality_rules(docs).collect()}
+    clean = [kept[r.doc_id] for r in docs.collect() if labels.get(r.doc_id) == 1 and len((r.text or "").split()) >= 20]
+    junk = [kept[d] for d, q in labels.items() if q == 0 and d in kept]
+    assert sum(clean) > 0.98 * len(clean) and sum(junk) <= 0.05 * len(junk)
 
 
 def test_decontaminate(spark):
@@ -306,6 +367,66 @@ def test_importance_resampling(spark):
     assert not any(r.kept for r in got if r.doc_id in (None, 5000))
 
 
+def test_the_noise_decides_among_equal_weights(spark):
+    """Documents of the same words in another order weigh the same: the noise alone picks half of them, the same each time."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.sample(words, 30)), "a") for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_dsir.quality_resample(corpus(spark, rows), labels, keep=0.5).collect()}
+    assert len({round(r.score, 9) for r in got.values()}) == 1
+    kept = {d for d, r in got.items() if r.kept}
+    assert len(kept) == 150 and 40 < len([d for d in kept if d < 150]) < 110
+    again = quality_dsir.quality_resample(corpus(spark, rows).repartition(3), labels, keep=0.5).where("kept").collect()
+    assert {r.doc_id for r in again} == kept
+
+
+def test_the_noise_has_its_natural_scale(spark):
+    """A row with weight w is above one with weight 0 in 1 / (1 + exp(-w)) of the cases."""
+    df = spark.range(20_000).select(quality_dsir.gumbel(F.lit("a"), F.col("id")).alias("a"), quality_dsir.gumbel(F.lit("b"), F.col("id")).alias("b"))
+    for w in (0.0, 1.0, 3.0):
+        share = df.where(F.col("a") + w > F.col("b")).count() / 20_000
+        assert abs(share - 1 / (1 + np.exp(-w))) < 0.02
+
+
+def test_log_ratios_and_calibration():
+    raw, target = np.zeros(quality_dsir.BUCKETS, np.int64), np.zeros(quality_dsir.BUCKETS, np.int64)
+    raw[:50], target[:50] = 1000, 400  # everyday words: 40 % of the raw text like the target
+    raw[50:60], raw[60], target[60] = 800, 100, 90
+    ratio = quality_dsir.log_ratios(raw, target)
+    assert not ratio[:50].any() and not ratio[100:].any()
+    assert (ratio[50:60] < -5).all() and not ratio[60]  # supported, but less than SLACK
+    assert np.isclose(ratio[50], np.log(0.5 / (800 * 0.4 + 0.5)), atol=0.01)
+    rng = np.random.default_rng(0)
+    x = rng.normal(0, 2, 20_000)
+    slope, intercept = quality_dsir.calibration(x, (rng.random(20_000) < 1 / (1 + np.exp(-(1.5 * x - 1)))).astype(int))
+    assert abs(slope - 1.5) < 0.1 and abs(intercept + 1) < 0.1
+    apart = quality_dsir.calibration(np.array([-9.0, -8, 2, 3]), np.array([0, 0, 1, 1]))
+    assert 0 < apart[0] < 10
+
+
+def test_counts_are_added_over_tasks(spark, rows, monkeypatch):
+    docs = corpus(spark, rows).select(F.col("text").cast("binary").alias("body"), (F.col("source") == "a").alias("target")).repartition(5)
+    raw, target = quality_dsir.bucket_counts(docs)
+    want = [Counter(), Counter()]
+    for _, t, s in rows:
+        for part in quality_dsir.features(body(t)):
+            want[0].update(part.tolist())
+            if s == "a":
+                want[1].update(part.tolist())
+    for got, w in zip((raw, target), want, strict=True):
+        assert {i: got[i] for i in np.flatnonzero(got)} == dict(w)
+
+
+def test_quality_of_tables_without_labels_or_rows(spark, rows):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = quality_dsir.quality_resample(corpus(spark, rows), labels).collect()
+    assert [r.kept for r in got] == [r.score > quality_dsir.EMPTY for r in got] and len(got) == len(rows)
+    one = spark.createDataFrame([(5, 1, 0), (None, 1, 0), (6, None, 0)], "doc_id long, quality int, toxic int")
+    assert quality_dsir.quality_resample(corpus(spark, rows), one).count() == len(rows)
+    assert quality_dsir.quality_resample(corpus(spark, []), one).count() == 0
+
+
 def test_kth_largest(spark):
     values = [float(random.Random(1).randint(0, 60)) / 7 for _ in range(300)] + [-1e9]
     values += [1e9, 3.0, 3.0]
