@@ -1,9 +1,13 @@
 """License scan by diagonal voting, in DataFrame operations only.
 
 Every rolling word k-gram of a text is hashed and joined to the places of the same k-gram in the license templates. A
-match votes for the diagonal ``text position - template position``. Votes are counted per diagonal, neighbouring
-diagonals (a few words inserted or left out) are merged, in bands and in chains, and the span they cover is verified word
-by word.
+match votes for the diagonal ``text position - template position``. Votes are counted per diagonal and neighbouring
+diagonals (a few words inserted or left out) are merged, in bands and in chains. The span that a merged match covers is
+verified as a whole: its words at the votes are the template's, each word of the text stands for one of the template's at
+most, and those found must be ``SHARE`` of the template's words.
+
+A text is cut into words once. What is written of it is its number of words and its hits, which are the k-grams that some
+template has, with their ``K`` words; nothing after that reads the texts.
 """
 
 from __future__ import annotations
@@ -11,8 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Words in a k-gram; diagonals at most this far apart belong to one match; least share of a template's k-grams, for
-#: templates of at least so many words. Shorter ones match only whole.
+from .common import materialize
+
+#: Words in a k-gram; diagonals at most this far apart belong to one match; least share of a template's k-grams and words,
+#: for templates of at least so many words. Shorter ones match only whole.
 K, DRIFT, SHARE, LONG = 2, 3, 0.6, 10
 
 #: The phrases whose every place is counted, and their labels.
@@ -71,68 +77,80 @@ def _grams(words: Column) -> Column:
     return F.transform(at, lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(K))))
 
 
-def license_matches(docs: DataFrame, row_key: str = "row") -> DataFrame:
-    """Verified matches ``(row, template, label, is_base, first, last, share)`` of ``docs(row, words)``.
+def scanned(docs: DataFrame) -> DataFrame:
+    """``(row, doc_id, n_words, hits)`` per row of ``docs``, written once; ``row`` is a number of its own for each row."""
+    known = [r.hash for r in template_grams(docs.sparkSession).select("hash").distinct().collect()]  # as many as TEMPLATES has k-grams
+    words = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), license_words(F.col("text")).alias("words"))
+    places = F.filter(F.transform(_grams(F.col("words")), lambda h, i: F.struct(h.alias("hash"), i.alias("pos"))), lambda x: x["hash"].isin(known))
+    hits = F.transform(places, lambda x: F.struct(x["hash"].alias("hash"), x["pos"].alias("pos"), F.slice("words", x["pos"] + 1, K).alias("gram")))
+    return materialize(words.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), hits.alias("hits")))
+
+
+def license_matches(found: DataFrame) -> DataFrame:
+    """Verified matches ``(row, template, label, is_base, first, last, share)`` of ``found`` (as :func:`scanned` returns it).
 
     A base phrase matches where its words stand consecutively. Another template matches where its words stand
     consecutively or, from ``LONG`` words, where at least ``SHARE`` of its k-grams vote for diagonals no more than
-    ``DRIFT`` words apart.
+    ``DRIFT`` words apart and ``SHARE`` of its words are verified there.
     """
-    grams = template_grams(docs.sparkSession)
-    known = [r.hash for r in grams.select("hash").distinct().collect()]  # as many as TEMPLATES has k-grams
-    hits = F.filter(F.transform(_grams(F.col("words")), lambda h, i: F.struct(h.alias("hash"), i.alias("pos"))), lambda x: x["hash"].isin(known))
-    placed = docs.select(row_key, "words", F.explode(hits).alias("hit")).select(row_key, "words", F.col("hit.hash").alias("hash"), F.col("hit.pos").alias("pos"))
+    grams = template_grams(found.sparkSession)
+    placed = found.select("row", F.explode("hits").alias("hit")).select("row", "hit.*")
     votes = placed.join(F.broadcast(grams.withColumnRenamed("words", "expected")), "hash").withColumn("diagonal", F.col("pos") - F.col("at"))
     # the words at the votes are compared, so that equal hashes of different words do not count
-    same = F.slice(F.col("words"), F.col("pos") + 1, K) == F.slice(F.col("expected"), F.col("at") + 1, K)
-    votes = votes.where(same).select(row_key, "template", "label", "is_base", "n", "diagonal", "pos", "at")
-    one = votes.groupBy(row_key, "template", "label", "is_base", "n", "diagonal").agg(
-        F.collect_set("at").alias("ats"), F.min("pos").alias("first"), F.max("pos").alias("last")
-    ).withColumn("votes", F.size("ats"))
+    votes = votes.where(F.col("gram") == F.slice(F.col("expected"), F.col("at") + 1, K))
+    one = votes.groupBy("row", "template", "label", "is_base", "n", "diagonal").agg(F.collect_set("at").alias("ats"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    one = one.withColumn("votes", F.size("ats")).withColumn("cells", F.transform("ats", lambda x: F.struct(x.alias("at"), (x + F.col("diagonal")).alias("pos"))))
     long = one.where(~F.col("is_base") & (F.col("n") >= LONG))
-    return _exact(one, row_key).unionByName(_joined(_banded(long, row_key).unionByName(_merged(long, row_key)), row_key))
+    return _exact(one).unionByName(_joined(_banded(long).unionByName(_merged(long))))
+
+
+def _verified(cells: Column) -> Column:
+    """Words of the template that the votes ``(at, pos)`` find, each in a word of the text that stands for no other one."""
+    words = lambda field: F.size(F.array_distinct(F.flatten(F.transform(cells, lambda x: F.sequence(x[field], x[field] + K - 1)))))
+    return F.least(words("at"), words("pos"))
 
 
-def _exact(one: DataFrame, row_key: str) -> DataFrame:
+def _exact(one: DataFrame) -> DataFrame:
     """Diagonals that all k-grams of the template vote for: its words stand there consecutively."""
     full = one.where(F.col("votes") == F.col("n") - (K - 1))
-    return full.select(row_key, "template", "label", "is_base", F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("n") - 1).alias("last"), F.lit(1.0).alias("share"))
+    return full.select("row", "template", "label", "is_base", F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("n") - 1).alias("last"), F.lit(1.0).alias("share"))
 
 
-def _banded(one: DataFrame, row_key: str) -> DataFrame:
+def _banded(one: DataFrame) -> DataFrame:
     """Diagonals at most DRIFT above each diagonal as one match, whatever votes lie between; only parts of the template."""
-    by = Window.partitionBy(row_key, "template").orderBy("diagonal").rangeBetween(0, DRIFT)
+    by = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(0, DRIFT)
     all_ats = F.flatten(F.collect_list("ats").over(by))
     bands = one.select(
-        row_key, "template", "label", "is_base", "n", F.size(F.array_distinct(all_ats)).alias("votes"), F.max("votes").over(by).alias("best"),
-        F.min("first").over(by).alias("from"), F.max("last").over(by).alias("to"),
+        "row", "template", "label", "is_base", "n", F.size(F.array_distinct(all_ats)).alias("votes"), F.max("votes").over(by).alias("best"),
+        F.flatten(F.collect_list("cells").over(by)).alias("cells"), F.min("first").over(by).alias("from"), F.max("last").over(by).alias("to"),
     )
     share = F.col("votes") / (F.col("n") - (K - 1))
     part = bands.withColumn("share", share).where((F.col("share") >= SHARE) & (F.col("best") < F.col("n") - (K - 1)))
-    return part.select(row_key, "template", "label", "is_base", F.col("from").alias("first"), (F.col("to") + K - 1).alias("last"), "share")
+    part = part.where(_verified(F.col("cells")) >= SHARE * F.col("n"))
+    return part.select("row", "template", "label", "is_base", F.col("from").alias("first"), (F.col("to") + K - 1).alias("last"), "share")
 
 
-def _joined(parts: DataFrame, row_key: str) -> DataFrame:
+def _joined(parts: DataFrame) -> DataFrame:
     """Matches of a template that overlap as one, with the largest share."""
-    by = Window.partitionBy(row_key, "template").orderBy("first", "last")
+    by = Window.partitionBy("row", "template").orderBy("first", "last")
     reach = F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1))
     new = F.coalesce((F.col("first") > reach).cast("int"), F.lit(0))
     placed = parts.withColumn("new", new).withColumn("place", F.sum("new").over(by))
-    out = placed.groupBy(row_key, "template", "label", "is_base", "place").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("share").alias("share"))
+    out = placed.groupBy("row", "template", "label", "is_base", "place").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("share").alias("share"))
     return out.drop("place")
 
 
-def _merged(one: DataFrame, row_key: str) -> DataFrame:
+def _merged(one: DataFrame) -> DataFrame:
     """Neighbouring diagonals as one match; the spans that are only a part of the template."""
-    by = Window.partitionBy(row_key, "template").orderBy("first", "diagonal")
+    by = Window.partitionBy("row", "template").orderBy("first", "diagonal")
     far = (F.abs(F.col("diagonal") - F.lag("diagonal").over(by)) > DRIFT) | (F.col("first") - F.lag("last").over(by) > F.col("n"))
     grouped = one.withColumn("chain", F.sum(F.coalesce(far.cast("int"), F.lit(0))).over(by))
-    chains = grouped.groupBy(row_key, "template", "label", "is_base", "n", "chain").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("votes").alias("best"))
+    chains = grouped.groupBy("row", "template", "label", "is_base", "n", "chain").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("votes").alias("best"), F.flatten(F.collect_list("cells")).alias("cells"))
     share = F.col("votes") / (F.col("n") - (K - 1))
     part = chains.withColumn("share", share).where((F.col("share") >= SHARE) & (F.col("best") < F.col("n") - (K - 1)))
-    span = F.col("last") + K - F.col("first")
-    part = part.where(span <= F.col("n") * 2)
-    return part.select(row_key, "template", "label", "is_base", "first", (F.col("last") + K - 1).alias("last"), F.least("share", F.lit(1.0)).alias("share"))
+    span = F.col("last") + K - F.col("first")  # votes this far apart are no one copy; nearer ones among them are a band
+    part = part.where((span <= F.col("n") * 2) & (_verified(F.col("cells")) >= SHARE * F.col("n")))
+    return part.select("row", "template", "label", "is_base", "first", (F.col("last") + K - 1).alias("last"), F.least("share", F.lit(1.0)).alias("share"))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -140,12 +158,11 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     ``n_base``, ``first_word`` and ``last_word`` are over all places of the base phrases; ``base_labels`` are theirs and
     ``labels`` all, distinct, sorted and comma-joined (empty: none); ``score`` is the largest share of a template's
-    k-grams that a match has (0: none). A null text has no words. Rows with the same id and text have equal results.
-    Other columns are not looked at.
+    k-grams that a match has (0: none). A null text has no words. Rows that share an id, null ids too, are separate.
+    Other columns are not looked at; an empty table gives an empty result.
     """
-    key = F.hash(F.coalesce("text", F.lit("")))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), license_words(F.col("text")).alias("words"))
-    found = license_matches(own.withColumn("row", F.struct("doc_id", "key")))
+    own = scanned(docs)
+    found = license_matches(own)
     base = F.col("is_base")
     per = found.groupBy("row").agg(
         F.count_distinct(F.when(base, F.struct("template", "first"))).alias("n_base"),
@@ -155,8 +172,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max("share").alias("score"),
     )
-    per = per.select(F.col("row.doc_id").alias("d"), F.col("row.key").alias("k"), *(c for c in per.columns if c != "row"))
-    out = own.select("doc_id", "key", F.size("words").cast("long").alias("n_words")).join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
+    out = own.select("row", "doc_id", "n_words").join(per, "row", "left")
     zero, none = F.lit(0).cast("long"), F.lit("")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_base", zero).alias("n_base"), F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"),
