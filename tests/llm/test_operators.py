@@ -303,18 +303,80 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
-def test_decontaminate_part_that_many_texts_share(spark):
-    """The n-grams of a shared part are common; those of the rest are in few texts or none and cannot point at it."""
+def test_decontaminate_part_that_many_texts_and_items_share(spark):
+    """Seeds that many items have, and many texts, still find the items that a text holds."""
     rng = random.Random(6)
     vocab = [f"w{i}" for i in range(400)]
     filler = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
-    item, other = filler(30).split(), filler(20)
-    many = decontaminate.RARE_TEXTS + 15
-    texts = [f"{filler(40)} {' '.join(item[:24])} {filler(40)}" for _ in range(many)] + [" ".join(item[20:]), other] + [filler(60) for _ in range(5)]
+    stem = filler(24)
+    items = [f"{stem} {filler(6)}" for _ in range(decontaminate.RARE + 15)]
+    texts = [f"{filler(40)} {stem} {filler(40)}", filler(60), items[3], f"{filler(9)} {' '.join(items[5].split()[20:])}"]
     docs = corpus(spark, [(i, t, "a") for i, t in enumerate(texts)])
-    bench = spark.createDataFrame([(0, " ".join(item)), (1, other)], "item_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
-    assert got == {(i, 0) for i in range(many)} | {(many + 1, 1)}
+    every = range(len(items))
+    assert got == {(0, i) for i in every} | {(2, i) for i in every}  # the stem is 24 of 30 words of each item
+
+
+def all_pairs(items, texts):
+    """Items that some stretch of a text aligns with, by Smith-Waterman of every item with every whole text."""
+    held = decontaminate.Items.of(list(enumerate(x.encode() for x in items)))
+    return {(d, i) for d, t in enumerate(texts) for i, own in enumerate(held.words) if decontaminate.align(own, held.numbers(t.encode()))[0] >= 2 * len(own) * decontaminate.COPY}
+
+
+@pytest.mark.parametrize("size,step", [(40, 3), (40, 4), (25, 3), (25, 5), (40, 0.1), (25, 0.2), (25, 0.33), (60, 0.33)])
+def test_recall_of_edited_copies(size, step):
+    """Words changed at every third, fourth or fifth place, or a tenth to a third of them at random places."""
+    rng = random.Random(size)
+    vocab = [f"w{i}" for i in range(3000)]
+    filler = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [filler(size) for _ in range(120)]
+    held = decontaminate.Items.of([(i, " ".join(x).encode()) for i, x in enumerate(items)])
+    found = right = 0
+    for i, x in enumerate(items):
+        odd = (lambda k: k % step == step - 1) if step >= 1 else (lambda k: rng.random() < step)
+        text = " ".join([*filler(50), *(f"zz{k}" if odd(k) else w for k, w in enumerate(x)), *filler(50)]).encode()
+        score = decontaminate.align(held.words[i], held.numbers(text))[0]
+        if score >= 2 * size * decontaminate.COPY:
+            right += 1
+            found += any(c[0] == i for c in decontaminate.copies(held, text))
+    assert right > 40 and found >= 0.97 * right, (found, right)
+
+
+def test_decontaminate_against_all_pairs():
+    """Texts and items of few words, copies edited, cut and repeated: what is found is what aligns, and every copy is."""
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(300)]
+    filler = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [filler(rng.choice([3, 12, 25, 40])) for _ in range(25)]
+    texts = []
+    for i in range(80):
+        own = list(rng.choice(items))
+        for _ in range(rng.randint(0, len(own) // 4)):
+            k = rng.randrange(len(own))
+            own[k : k + 1] = rng.choice([[], ["new"], [own[k], "put"]])
+            own = own or ["new"]
+        texts.append(" ".join([*filler(rng.choice([0, 30, 400])), *own, *filler(rng.choice([0, 50]))]))
+    items = [" ".join(x) for x in items]
+    held = decontaminate.Items.of(list(enumerate(x.encode() for x in items)))
+    got = {(d, c[0]) for d, t in enumerate(texts) for c in decontaminate.copies(held, t.encode())}
+    want = {(d, i) for d, i in all_pairs(items, texts) if len(items[i].split()) >= 4}
+    assert {x for x in got if len(items[x[1]].split()) >= 4} <= want
+    assert len([x for x in want if x not in got]) <= 0.05 * len(want) and len(want) > 60
+
+
+def test_decontaminate_stage_rows(spark, tmp_path):
+    rng = random.Random(5)
+    filler = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    item = filler(30)
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(5, filler(9), "a"), (5, f"x {item}", "a"), (None, item, "a"), (None, "free", "b"), (None, None, "c"), (7, "free " * 3000 + item, "a")]
+    docs = corpus(spark, rows).withColumn("row", F.lit(1)).withColumn("k1", F.lit("z"))
+    got = decontaminate.stage_decontaminate(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in got.collect() if r.text) == sorted([("5", rows[0][1]), ("None", "free")])
+    assert got.where("text is null").count() == 1
+    assert decontaminate.stage_decontaminate(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
 def test_align_against_plain_smith_waterman():
