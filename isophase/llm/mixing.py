@@ -55,25 +55,47 @@ def order_key(doc_id: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, slots: int = SLOTS) -> DataFrame:
-    """One row per row of ``docs(doc_id, text, source, ...)``: ``doc_id, size, source_size, target, taken``.
+    """One row per row of ``docs(doc_id, text, source, ...)``: ``row, doc_id, size, source_size, target, taken``.
 
     A null text has size 0; null is a source of its own, the last one; a source without words has target 0. Rows that
-    share an id are separate documents whose order among each other is set by size, then arbitrary among equals.
-    Other columns are not looked at; an empty table gives an empty result.
+    share an id are separate documents whose order among each other is set by size, then arbitrary among equals; ``row``
+    is a number of its own for each row of ``docs`` in the order that its partitions have them. Other columns are not
+    looked at; an empty table gives an empty result.
+    """
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", words_in(F.col("text")).alias("size"))
+    return mixed(materialize(own), weights, epochs, slots)
+
+
+def mixed(own: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, slots: int = SLOTS) -> DataFrame:
+    """:func:`mix` of ``own(row, doc_id, source, size)``, a written table.
+
+    Rows of a source that share id and size are alike and stand one after another in the queue, in the order of ``row``.
+    They may be a third of all rows, so they are one entry of the windows that add up sizes; each row's place among them
+    is found from the number of them in each of the partitions that ``row`` was counted in.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words_in(F.col("text")).alias("size"))
-    place = order_key(F.col("doc_id"))
-    own = materialize(own.withColumn("place", place).withColumn("slot", F.shiftright(place, 48).cast("int")))
     null_safe = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
-    own = own.withColumn("queue", null_safe)
+    place = order_key(F.col("doc_id"))
+    own = own.withColumn("place", place).withColumn("slot", F.shiftright("place", 48).cast("int")).withColumn("queue", null_safe)
+    own = own.withColumn("doc", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn("part", F.shiftright("row", 33))
     goal = materialize(targets(own.select("source", "size"), weights, epochs)).withColumn("queue", null_safe)
+    alike = ["queue", "slot", "place", "doc", "size"]
+    in_part = materialize(own.groupBy(*alike, "part").agg(F.count("*").alias("n")))
+    kinds = in_part.groupBy(*alike).agg(F.sum("n").alias("n"))
     by_slot = own.groupBy("queue", "slot").agg(F.sum("size").alias("in_slot"))
     earlier = Window.partitionBy("queue").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     by_slot = by_slot.withColumn("before", F.coalesce(F.sum("in_slot").over(earlier), F.lit(0).cast("long"))).drop("in_slot")
-    in_slot = Window.partitionBy("queue", "slot").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    queued = own.withColumn("upto", F.sum("size").over(in_slot)).join(by_slot, ["queue", "slot"])
-    queued = queued.withColumn("upto", F.col("upto") + F.col("before")).drop("before").join(goal.drop("source"), "queue")
-    queued = materialize(queued.select("doc_id", "queue", "place", "size", "source_size", "target", "upto"))
+    in_slot = Window.partitionBy("queue", "slot").orderBy("place", "doc", "size").rowsBetween(Window.unboundedPreceding, -1)
+    kinds = kinds.withColumn("upto", F.coalesce(F.sum(F.col("size") * F.col("n")).over(in_slot), F.lit(0).cast("long")))
+    kinds = kinds.join(by_slot, ["queue", "slot"]).withColumn("start", F.col("upto") + F.col("before")).drop("upto", "before")
+    kinds = materialize(kinds)
+    # of those that are alike, the ones in earlier partitions come first; then the row's number among those of its own
+    others = Window.partitionBy(*alike).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shared = in_part.join(kinds.where("n > 1").select(*alike), alike).withColumn("ahead", F.coalesce(F.sum("n").over(others), F.lit(0).cast("long"))).drop("n")
+    within = Window.partitionBy(*alike, "part").orderBy("row")
+    many = own.join(materialize(shared), [*alike, "part"]).select("row", (F.col("ahead") + F.row_number().over(within)).alias("nth"))
+    own = own.join(kinds, alike).join(materialize(many).withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left")
+    queued = own.withColumn("upto", F.col("start") + F.col("size") * F.coalesce("nth", F.lit(1))).join(goal.drop("source"), "queue")
+    queued = materialize(queued.select("row", "doc_id", "queue", "place", "size", "source_size", "target", "upto"))
     # one entry per document and epoch, by its virtual finish time
     entries = queued.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("finish", _finish(F.col("epoch")))
     last = _last_served(entries.select("queue", "size", "epoch", "finish", "upto"), goal.agg(F.sum("source_size")).first()[0] or 0, slots)
@@ -83,7 +105,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
             entry = F.struct(_finish(F.lit(e)).alias("finish"), F.col("queue"), F.lit(e).alias("epoch"), F.col("upto"))
             limit = F.struct(F.lit(last[0]).alias("finish"), F.lit(last[1]).alias("queue"), F.lit(last[2]).alias("epoch"), F.lit(last[3]).cast("long").alias("upto"))
             served = served + F.when((F.col("size") > 0) & (entry <= limit), 1).otherwise(0)
-    return queued.select("doc_id", "size", "source_size", "target", (F.col("size") * served).alias("taken"))
+    return queued.select("row", "doc_id", "size", "source_size", "target", (F.col("size") * served).alias("taken"))
 
 
 def _finish(epoch: Column) -> Column:
@@ -127,10 +149,16 @@ def _last_served(entries: DataFrame, budget: int, slots: int) -> tuple | None:
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with ``taken``; needs ``doc_id`` to tell them apart."""
-    taken = mix(docs).where("taken > 0").select(F.col("doc_id").alias("__d"), "size", "source_size", "target", "taken").dropDuplicates(["__d"])
-    return docs.drop("size", "source_size", "target", "taken").join(taken, F.col("doc_id").eqNullSafe(F.col("__d"))).drop("__d")
+    """The rows that the mix takes, each with ``size, source_size, target, taken`` (columns of these names are replaced).
+
+    Rows are numbered once, in a written copy, so that rows with equal ids and texts are told apart.
+    """
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
+    own = numbered.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), "doc.source", words_in(F.col("doc.text")).alias("size"))
+    made = ("size", "source_size", "target", "taken")
+    taken = mixed(materialize(own)).where("taken > 0").select("row", *made)
+    return numbered.join(taken, "row").select(*(F.col("doc")[c].alias(c) for c in docs.columns if c not in made), *made)

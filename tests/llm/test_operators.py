@@ -215,15 +215,32 @@ def test_mix(spark, rows):
             left -= 3 * sizes[s] if over else 0
         open_ = [s for s in open_ if s not in over] if over else []
     assert {round(r.target, 6) for r in got} == {round(x, 6) for x in target.values()}
-    assert sorted(map(tuple, mixing.mix(docs.repartition(3)).collect()), key=str) == sorted(map(tuple, got), key=str)
+    assert sorted(map(tuple, mixing.mix(docs.repartition(3)).drop("row").collect()), key=str) == sorted((tuple(r)[1:] for r in got), key=str)
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
 def test_mix_narrows(spark, monkeypatch):
     docs = corpus(spark, [(i, "w " * (1 + i % 9), "abc"[i % 3]) for i in range(600)])
-    want = sorted(map(tuple, mixing.mix(docs).collect()))
+    want = sorted(map(tuple, mixing.mix(docs).drop("row").collect()))
     monkeypatch.setattr(mixing, "FEW", 20)
-    assert sorted(map(tuple, mixing.mix(docs, slots=8).collect())) == want
+    assert sorted(map(tuple, mixing.mix(docs, slots=8).drop("row").collect())) == want
+
+
+def test_mix_of_rows_that_are_alike(spark):
+    """A third of the rows share a null id, many of these their text too: each is served by itself, whatever the partitions."""
+    rows = [(None, "w " * (1 + i % 2), "a", i) for i in range(200)] + [(i, "w " * (1 + i % 5), "abc"[i % 3], i) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, taken long")
+    got = [mixing.mix(docs.repartition(p)).collect() for p in (1, 4)]
+    assert [len({r.row for r in x}) for x in got] == [600, 600]
+    digest = [Counter((r.doc_id, r.size, r.target, r.taken) for r in x) for x in got]
+    assert digest[0] == digest[1]
+    total = sum(r.size for r in got[0])
+    assert total - 20 <= sum(r.taken for r in got[0]) <= total
+    for source_target in {r.target for r in got[0]}:
+        assert abs(sum(r.taken for r in got[0] if r.target == source_target) - source_target) <= 10
+    stage = mixing.stage_mix(spark, docs, "").collect()
+    assert Counter((r.doc_id, len(r.text.split()), r.target, r.taken) for r in stage) == Counter({k: n for k, n in digest[0].items() if k[3]})
+    assert mixing.stage_mix(spark, docs.limit(0), "").count() == 0
 
 
 def test_quality_rules(spark, rows):
