@@ -4,9 +4,9 @@ Method: the de Bruijn graph whose edges are the token 50-mers; an edge goes from
 of its last 49, and the two nodes' names together name it (128 bits).
 
 1. Edges that meet in no other document leave first: consecutive 50-mers with the same minimiser are one row, and a
-   minimiser that is in one document only has no repeated edge. Rows whose minimiser's texts all come from one first
-   document are paths as they stand; the others are taken apart into edges.
-2. Equal edges are one edge, which keeps the coordinates of its first source: document, place.
+   minimiser that is in one document only has no repeated edge. Equal rows are one path with the coordinates of its first
+   source: document, place. Paths whose minimiser has another path in an earlier document are taken apart into edges.
+2. Equal edges are one edge, with the coordinates of its first source too. Edges of a single document leave.
 3. In- and out-degrees are counted per node; edges that follow one another in their source through a node of degree one and
    one are joined into nonbranching paths (unitigs), cut every ``BLOCK`` places so that no task holds a whole document.
 4. The edges of a text become pieces of unitigs, and these the spans of each document with their source coordinates. The
@@ -85,9 +85,10 @@ def _cut_edges(width: int):
 
 
 def graph(edges: DataFrame) -> DataFrame:
-    """``(from_node, to_node, place, s1, s2, at)``: each distinct edge with its first source, from ``edges`` of all texts."""
+    """``(from_node, to_node, place, s1, s2, at)``: each edge that several documents have, with its first source."""
     first = F.min(F.struct("place", "s1", "s2", "at")).alias("first")
-    return edges.groupBy("from_node", "to_node").agg(first).select("from_node", "to_node", "first.*")
+    seen = edges.groupBy("from_node", "to_node").agg(first, F.max("place").alias("last"))
+    return seen.where("first.place < last").select("from_node", "to_node", "first.*")
 
 
 def unitigs(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -120,24 +121,25 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, minimiser: int = MINIMIS
     first = F.min(F.struct("place", "k1", "k2", "lo", "hi")).alias("first")
     spans = materialize(kept.groupBy("core", "span").agg(first).select("core", "span", "first.*"))
     cores = spans.groupBy("core").agg(F.min("place").alias("a"), F.max("place").alias("b")).select("core", (F.col("a") < F.col("b")).alias("contested"))
-    spans = materialize(spans.join(materialize(cores), "core"))
-    paths = spans.where("not contested").select("core", "span", "place", F.lit(0).alias("begin"), (F.col("hi") - F.col("lo")).alias("end"), F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.col("lo").alias("at"))
-    cut = with_lists(docs, spans.where("contested").select("k1", "k2", "core", "span", "place", "lo", "hi"), "runs", "inner")
+    cores = materialize(cores.where("contested").select("core"))
+    source = (F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.col("lo").alias("at"))
+    paths = spans.select("core", "span", "place", F.lit(0).alias("begin"), (F.col("hi") - F.col("lo")).alias("end"), *source)
+    cut = with_lists(docs, spans.join(cores, "core").select("k1", "k2", "core", "span", "place", "lo", "hi"), "runs", "inner")
     edges = materialize(cut.select("k1", "k2", "body", "runs").mapInArrow(_cut_edges(width), _EDGES))
+    drop(cores)
     distinct = materialize(graph(edges))
     placed = unitigs(distinct, block)
-    own = edges.select("core", "span", "from_node", "to_node", (F.col("at") - F.col("lo")).alias("nth"))
-    met = own.join(placed, ["from_node", "to_node"])
+    own = edges.select("core", "span", "from_node", "to_node", F.col("place").alias("own_place"), (F.col("at") - F.col("lo")).alias("nth"))
+    met = own.join(placed, ["from_node", "to_node"]).where("place < own_place")
     # the edges of a text that lie on one path, one after another, are one piece of it
     pieces = met.groupBy("core", "span", "place", "s1", "s2", "path", (F.col("at") - F.col("nth")).alias("shift")).agg(F.min("nth").alias("begin"), F.max("nth").alias("end"))
-    pieces = pieces.select("core", "span", "place", "begin", "end", "s1", "s2", (F.col("shift") + F.col("begin")).alias("at"))
-    route = materialize(paths.unionByName(pieces))
+    pieces = materialize(pieces.select("core", "span", "place", "begin", "end", "s1", "s2", (F.col("shift") + F.col("begin")).alias("at")))
     drop(edges, distinct, placed)
-    earlier = route.withColumnRenamed("place", "source_place")
+    earlier = materialize(paths.unionByName(pieces)).withColumnRenamed("place", "source_place")
     got = kept.join(earlier, ["core", "span"]).where("source_place < place")
     spans_of = got.select("k1", "k2", (F.col("lo") + F.col("begin")).alias("lo"), (F.col("lo") + F.col("end")).alias("hi"), "s1", "s2", "at")
     out = materialize(_joined(spans_of))
-    drop(kept, spans, route)
+    drop(kept, spans, pieces, earlier)
     return out
 
 
@@ -184,7 +186,9 @@ def verified(docs: DataFrame, spans: DataFrame, width: int = WIDTH) -> DataFrame
     here = named.select("k1", "k2", F.col("at").alias("lo"), "n", F.col("name_a").alias("a"), F.col("name_b").alias("b"))
     there = named.select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), "at", "n", "name_a", "name_b")
     both = spans.withColumn("n", size).join(here, ["k1", "k2", "lo", "n"])
-    return both.join(there, ["s1", "s2", "at", "n"]).where("a = name_a and b = name_b").select("k1", "k2", "lo", "hi")
+    same = materialize(both.join(there, ["s1", "s2", "at", "n"]).where("a = name_a and b = name_b").select("k1", "k2", "lo", "hi"))
+    drop(named)
+    return same
 
 
 def _report(width: int, texts: bool):

@@ -54,7 +54,7 @@ def test_a_round_lets_unique_positions_leave(spark):
 
 
 def test_unitigs_end_where_copies_part(spark):
-    """Three texts share a middle: the shared edges are paths whose ends are where the texts part."""
+    """Three texts share a middle: the shared edges are paths whose ends are where the texts part, edges of one text leave."""
     rng = random.Random(2)
     words = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
     middle, tail = words(30), words(20)
@@ -67,13 +67,17 @@ def test_unitigs_end_where_copies_part(spark):
         edges += [(nodes[i], heads[i + 1], d, d, 0, i) for i in range(len(names))]
     df = spark.createDataFrame(edges, "from_node long, to_node long, place long, s1 long, s2 long, at int")
     placed = debruijn.unitigs(debruijn.graph(df)).collect()
-    assert len(placed) == len({(e[0], e[1]) for e in edges})
+    seen = Counter(e[:2] for e in edges)
+    assert {(r.from_node, r.to_node) for r in placed} == {e for e, n in seen.items() if n > 1}
     paths = {}
     for r in placed:
         paths.setdefault((r.s1, r.path), []).append(r.at)
     assert all(sorted(v) == list(range(min(v), max(v) + 1)) for v in paths.values())
     starts = {s for d, s in paths if d == 0}
-    assert 10 + 30 - 4 in starts and 0 in starts  # the node after the middle has two edges out of it
+    assert starts == {10}  # the middle and the tail after it: only one repeated edge follows another
+    branch = df.where("s1 <> 0 or at < 1000").union(df.where("s1 = 1").withColumn("s1", F.lit(4)).withColumn("place", F.lit(4)))
+    starts = {r.path for r in debruijn.unitigs(debruijn.graph(branch)).collect() if r.s1 == 0}
+    assert starts == {10, 10 + 30 - 4}  # once the second text is repeated too, two edges leave the node after the middle
     small = debruijn.unitigs(debruijn.graph(df), block=4).collect()
     assert {(r.s1, r.at) for r in small} == {(r.s1, r.at) for r in placed}
     assert all(r.at // 4 == r.path // 4 for r in small)
