@@ -193,6 +193,16 @@ def test_url_model_generalises(spark):
     assert df.where((p >= 0.5) == df.blocked).count() > 390
 
 
+def test_url_filter_without_both_kinds_of_labels_and_with_long_urls(spark):
+    urls = ["https://a.test/" + "x" * 20_000, "http://" + "b." * 3000 + "net/de/", None]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
+    for rows, want in (([], "allow"), ([("h.test", "/", True)], "block"), ([("h.test", "/", False)], "allow")):
+        labelled = spark.createDataFrame(rows, "host string, path string, blocked boolean")
+        got = {r.page_id: r for r in url_filter.url_filter(pages, labelled=labelled).collect()}
+        assert [got[i].verdict for i in range(3)] == [want, "block", want]
+        assert got[1].rule == "net/" and got[0].rule is None
+
+
 def test_mix(spark, rows):
     docs = corpus(spark, rows)
     got = mixing.mix(docs).collect()
