@@ -19,7 +19,7 @@ STAGES = [
     ("mix", stage_mix),
 ]
 
-#: The fitted and hashed stages have no SQL form; of the stages, tests compare the near-duplicate one with brute force.
+#: The fitted and hashed stages have no SQL form; tests compare every stage's rows with brute force.
 ORACLE_SQL = None
 
 

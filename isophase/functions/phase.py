@@ -132,3 +132,15 @@ def phass_cost(corr_a: Column, corr_b: Column, gradient: Column) -> Column:
     """The ablation's arc cost: 255 from a coherence product of 0.49 on, 0 for steep edges."""
     q = F.floor(F.least(corr_a * corr_a, corr_b * corr_b) * 100).cast("int")
     return F.when(F.abs(gradient) >= 1, 0).when(q > 49, 255).otherwise(q)
+
+
+#: Fixed value: speed of light in metres a second.
+LIGHT = 299_792_458.0
+
+
+def nominal_looks(range_looks: Column, azimuth_looks: Column, range_bandwidth: Column, range_spacing: Column, line_time: Column, azimuth_bandwidth: Column) -> Column:
+    """Independent looks by the product's metadata: samples over the oversampling in range and in azimuth; null unless both
+    oversamplings are positive."""
+    over_range = (LIGHT / (2 * range_bandwidth)) / range_spacing
+    over_azimuth = (1 / line_time) / azimuth_bandwidth
+    return F.when((over_range > 0) & (over_azimuth > 0), range_looks * azimuth_looks / (over_range * over_azimuth))

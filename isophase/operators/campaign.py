@@ -43,20 +43,38 @@ def one_per_frame(inventory: DataFrame, keys: list[str], order: list[Column]) ->
 
 
 def sample_per_track(frames: DataFrame, per_track: int, keys: list[str], order: list[str]) -> DataFrame:
-    """Evenly spread positions of each track: place ``rint((i + 1) * (n - 1) / (per_track + 1))``, each place once."""
+    """Evenly spread positions of each track: place ``rint((i + 1) * (n - 1) / (per_track + 1))``, each place once.
+    :func:`shuffled` puts what it takes in a random order."""
     part = Window.partitionBy(*keys)
     ranked = frames.withColumn("_at", F.row_number().over(part.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(part))
     wanted = F.transform(F.sequence(F.lit(0), F.lit(per_track - 1)), lambda i: F.rint((i + 1) * (F.col("_n") - 1) / F.lit(per_track + 1)).cast("long"))
     return ranked.where(F.array_contains(wanted, F.col("_at").cast("long"))).drop("_at", "_n")
 
 
+def shuffled(rows: DataFrame, seed: int, *key: str) -> DataFrame:
+    """``rows`` with ``place``, their place from 0 in a pseudo-random order that the seed and the key set."""
+    hashed = rows.withColumn("_h", F.xxhash64(F.lit(seed), *key))
+    return hashed.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_h", *key)) - 1).drop("_h")
+
+
+def with_missing(wanted: DataFrame, known: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``wanted`` with their record in ``known``, and the keys that have none."""
+    return wanted.join(known, key), wanted.join(known, key, "left_anti").select(key)
+
+
+def usual(results: DataFrame, value: str) -> DataFrame:
+    """``(value, n)``: the most frequent value, the smallest of equally frequent ones; nulls do not count."""
+    counts = results.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
+    return counts.orderBy(F.col("n").desc(), F.col(value).asc()).limit(1)
+
+
 def worst(results: DataFrame, score: str, n: int, tie: str) -> DataFrame:
     return results.orderBy(F.col(score).asc(), F.col(tie).asc()).limit(n)
 
 
-def slowest_unique(results: DataFrame, key: str, runtime: str, least: float, n: int) -> DataFrame:
-    """Rows over a runtime, the slowest of each key, the ``n`` slowest of those."""
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.col(runtime).desc()))
+def slowest_unique(results: DataFrame, key: str, runtime: str, least: float, n: int, tie: str | None = None) -> DataFrame:
+    """Rows from a runtime on, the slowest of each key (of equal ones the first by ``tie``), the ``n`` slowest of those."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.col(runtime).desc(), *([F.col(tie).asc()] if tie else [])))
     return results.where(F.col(runtime) >= least).withColumn("_n", nth).where("_n = 1").drop("_n").orderBy(F.col(runtime).desc(), key).limit(n)
 
 

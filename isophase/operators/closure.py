@@ -115,7 +115,7 @@ def closure_correct(stack: DataFrame, graph: TemporalGraph, reference: int = 0,
             if s and x not in used:
                 rows.append((x, e, s))
     along = spark.createDataFrame(rows, "x int, e int, s int")
-    predicted = stack.join(F.broadcast(along), "e").groupBy("x", "i", "j").agg(F.sum(F.col("s") * F.col("unw")).alias("p")).withColumnRenamed("x", "e")
+    predicted = stack.join(along, "e").groupBy("x", "i", "j").agg(F.sum(F.col("s") * F.col("unw")).alias("p")).withColumnRenamed("x", "e")
     out = stack.join(predicted, ["e", "i", "j"], "left")
     k = F.coalesce(cycles(F.col("unw") - F.col("p")), F.lit(0)).cast("int")
     return out.select("e", "i", "j", k.alias("k"), (F.col("unw") - F.lit(TAU) * k).alias("corrected"))
@@ -123,7 +123,7 @@ def closure_correct(stack: DataFrame, graph: TemporalGraph, reference: int = 0,
 
 def _most_cycles(stack: DataFrame, members: list[tuple[int, int, int]]) -> DataFrame:
     loops = stack.sparkSession.createDataFrame(members, "c int, e int, s int")
-    k = stack.join(F.broadcast(loops), "e").groupBy("i", "j", "c").agg(cycles(F.sum(F.col("s") * F.col("unw"))).alias("k"))
+    k = stack.join(loops, "e").groupBy("i", "j", "c").agg(cycles(F.sum(F.col("s") * F.col("unw"))).alias("k"))
     return k.groupBy("i", "j").agg(F.max(F.abs("k")).cast("int").alias("quality"))
 
 
@@ -172,3 +172,31 @@ def closure_refine(stack: DataFrame, graph: TemporalGraph, crlb: DataFrame, max_
 
     i, j = (dict(cube.dtypes)[c] for c in "ij")
     return cube.mapInArrow(work, f"i {i}, j {j}, corrected array<double>, violations int, iterations int")
+
+
+def triplets(dates: int, family: str) -> list[tuple[int, int, int]]:
+    """Triplets of dates: ``short`` of three in a row, ``long`` of the first one and two in a row after it."""
+    if family == "long":
+        return [(0, i, i + 1) for i in range(1, dates - 1)]
+    if family == "short":
+        return [(i, i + 1, i + 2) for i in range(dates - 2)]
+    raise ValueError(f"unknown family {family!r}")
+
+
+def triplet_closure(stack: DataFrame, dates: int, family: str) -> DataFrame:
+    """``(a, b, c, n, pct_k_closure, pct_true_any, wrapped_p95)`` of each triplet of ``stack(from_date, to_date, i, j, psi,
+    unw, k_error)``.
+
+    Per pixel with all three phases: the cycles by which the unwrapped closure is off the wrapped one, and whether any of
+    the three has an ambiguity error; shares in percent and the 95th percentile of the wrapped closure's size.
+    """
+    rows = [(a, b, c) for a, b, c in triplets(dates, family)]
+    wanted = stack.sparkSession.createDataFrame(rows, "a int, b int, c int")
+    side = wanted.select("a", "b", "c", F.explode(F.array(*(F.struct(F.col(x).alias("from_date"), F.col(y).alias("to_date"), F.lit(s).alias("s")) for x, y, s in (("a", "b", 1), ("b", "c", 1), ("a", "c", -1))))).alias("e")).select("a", "b", "c", "e.*")
+    met = stack.where(F.col("unw").isNotNull() & ~F.isnan("unw")).join(side, ["from_date", "to_date"])
+    per = met.groupBy("a", "b", "c", "i", "j").agg(F.count("*").alias("n"), F.sum(F.col("s") * F.col("psi")).alias("psi"), F.sum(F.col("s") * F.col("unw")).alias("unw"), F.max((F.col("k_error") != 0).cast("int")).alias("wrong"))
+    per = per.where("n = 3").withColumn("mis", F.col("psi") - F.lit(TAU) * F.round(F.col("psi") / TAU))
+    off = (F.round((F.col("unw") - F.col("mis")) / TAU) != 0).cast("int")
+    return per.groupBy("a", "b", "c").agg(
+        F.count("*").alias("n"), (100 * F.avg(off)).alias("pct_k_closure"), (100 * F.avg("wrong")).alias("pct_true_any"), F.percentile(F.abs("mis"), F.lit(0.95)).alias("wrapped_p95")
+    )

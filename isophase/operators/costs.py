@@ -41,7 +41,7 @@ def slope_guard_threshold(edges: DataFrame, budget: float = BUDGET, floor: float
 
 def guarded(edges: DataFrame, threshold: DataFrame) -> DataFrame:
     """``edges`` with ``guard``: the slope is at least the frame's threshold, on edges that count."""
-    e = edges.join(F.broadcast(threshold), "frame_id")
+    e = edges.join(threshold, "frame_id")
     return e.withColumn("guard", F.col("both") & (F.col("corr") > 1e-9) & (F.abs("gradient") >= F.col("threshold"))).drop("threshold")
 
 

@@ -14,13 +14,15 @@ def finalize_labels(components: DataFrame, min_px: int = 100, min_fraction: floa
     """Labels renumbered by size: ``components(frame_id, i, j, label)``, label 0 is background.
 
     Components below ``max(min_px, ceil(min_fraction * valid), 1)`` pixels become background, the rest are numbered by
-    size, ties by first pixel in raster order, and only the first ``most`` (0: all) stay.
+    size, ties by first pixel in raster order, and only the first ``most`` (0: all) stay. Valid are the pixels of a column
+    ``mask``, all of them if there is none.
     """
     lit = components.where("label > 0")
     per = lit.groupBy("frame_id", "label").agg(F.count("*").alias("size"), F.min(F.struct("i", "j")).alias("first"))
-    valid = per.groupBy("frame_id").agg(F.sum("size").alias("valid"))
+    counted = components.where("mask") if "mask" in components.columns else components
+    valid = counted.groupBy("frame_id").agg(F.count("*").alias("valid"))
     least = F.greatest(F.lit(min_px), F.ceil(F.lit(min_fraction) * F.col("valid")), F.lit(1))
-    per = per.join(F.broadcast(valid), "frame_id").where(F.col("size") >= least)
+    per = per.join(valid, "frame_id").where(F.col("size") >= least)
     per = per.withColumn("new", F.row_number().over(Window.partitionBy("frame_id").orderBy(F.col("size").desc(), "first")))
     if most:
         per = per.where(F.col("new") <= most)
@@ -115,7 +117,7 @@ def compare_stats(pixels: DataFrame, runtime: float | None = None) -> DataFrame:
     ok = F.col("mask") & F.col("psi").isNotNull() & F.col("prod_unw").isNotNull() & F.col("ww_unw").isNotNull() & ~F.isnan("prod_unw") & ~F.isnan("ww_unw")
     v = pixels.where(ok)
     offset = v.groupBy("frame_id").agg(F.rint(F.median((F.col("ww_unw") - F.col("prod_unw")) / TAU)).alias("offset"))
-    v = v.join(F.broadcast(offset), "frame_id")
+    v = v.join(offset, "frame_id")
     amb = lambda c: F.rint((F.col(c) - F.col("psi")) / TAU)
     d = v.withColumn("amb", amb("ww_unw") - amb("prod_unw") - F.col("offset")).withColumn("diff", F.col("ww_unw") - F.col("prod_unw") - F.col("offset") * TAU)
     return d.groupBy("frame_id").agg(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isophase.functions.phase import cycle_difference, wrap
+from isophase.functions.phase import cycle_difference, mask_digits, wrap
 
 
 def _row():
@@ -45,10 +45,11 @@ def residues(pixels: DataFrame) -> DataFrame:
 
 
 def frame_deposits(pixels: DataFrame) -> DataFrame:
-    """Residues on the frame of each image, which make the sum over all nodes zero: ``(frame_id, side, at, charge)``."""
+    """Residues on the frame of each image, which make the sum over all nodes zero where nothing is masked:
+    ``(frame_id, side, at, charge)``. An edge with a masked end is skipped."""
     ends = pixels.groupBy("frame_id").agg(F.max("i").alias("last_i"), F.max("j").alias("last_j"))
-    p = pixels.join(F.broadcast(ends), "frame_id")
-    p = p.withColumn("r", right("psi")).withColumn("d", below("psi"))
+    p = pixels.join(ends, "frame_id").withColumn("rm", right("mask")).withColumn("dm", below("mask"))
+    p = p.withColumn("r", F.when(F.col("mask") & F.col("rm"), right("psi"))).withColumn("d", F.when(F.col("mask") & F.col("dm"), below("psi")))
     along, down = cycle_difference(F.col("psi"), F.col("r")), cycle_difference(F.col("psi"), F.col("d"))
     side = lambda name, where, at, charge: p.where(where).select("frame_id", F.lit(name).alias("side"), (F.col(at) + 1).alias("at"), charge.alias("charge"))
     out = side("top", "i = 0 and r is not null", "j", -along).unionByName(side("bottom", "i = last_i and r is not null", "j", along))
@@ -94,27 +95,69 @@ def masked_box_filter(values: DataFrame, k_row: int, k_col: int) -> DataFrame:
     return x.withColumn("v", F.when(F.col("_w") * (k_row * k_col) <= 1e-6, 0.0).otherwise(F.col("v") / F.col("_w"))).drop("_w")
 
 
+def _nearest(of: Column, axis: str, line) -> Column:
+    """Least ``of + |distance along the line|`` over the pixels of a line, by a running minimum from either end."""
+    ahead = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    back = line.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    return F.least(F.min(of - F.col(axis)).over(ahead) + F.col(axis), F.min(of + F.col(axis)).over(back) - F.col(axis))
+
+
 def eroded(pixels: DataFrame, k: int) -> DataFrame:
-    """``pixels`` whose ``mask`` is false within ``k`` steps of 4-neighbours of a false pixel; beyond the image is true."""
-    offsets = [(a, b) for a in range(-k, k + 1) for b in range(-k, k + 1) if abs(a) + abs(b) <= k]
-    steps = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in offsets)))
-    near = pixels.where("not mask").select("frame_id", "i", "j", steps.alias("s")).select("frame_id", (F.col("i") + F.col("s.a")).alias("i"), (F.col("j") + F.col("s.b")).alias("j")).distinct()
-    hit = near.withColumn("_hit", F.lit(True))
-    return pixels.join(hit, ["frame_id", "i", "j"], "left").withColumn("mask", F.col("mask") & F.col("_hit").isNull()).drop("_hit")
+    """``pixels`` whose ``mask`` is false within ``k`` steps of 4-neighbours of a false pixel; beyond the image is true.
+
+    The distance in steps is found along the rows and then along the columns, and the other way round, so that a single
+    missing pixel is no obstacle. Rows stay one per pixel, whatever ``k`` is.
+    """
+    p = pixels.withColumn("_z", F.when(~F.col("mask"), F.lit(0)))
+    p = p.withColumn("_r", _nearest(F.col("_z"), "j", _row())).withColumn("_c", _nearest(F.col("_z"), "i", _column()))
+    p = p.withColumn("_rc", _nearest(F.col("_r"), "i", _column())).withColumn("_cr", _nearest(F.col("_c"), "j", _row()))
+    far = F.coalesce(F.least("_rc", "_cr") > k, F.lit(True))
+    return p.withColumn("mask", F.col("mask") & far).drop("_z", "_r", "_c", "_rc", "_cr")
+
+
+def open_water_mask(pixels: DataFrame, erode_px: int = 25) -> DataFrame:
+    """``pixels(frame_id, i, j, code, ...)`` with ``mask``: valid samples of both swaths that are not interior open water.
+
+    Water more than ``erode_px`` steps from other pixels is left out; shores and narrow water stay.
+    """
+    water, ref, sec = mask_digits(F.col("code"))
+    inner = eroded(pixels.withColumn("mask", water != 0), erode_px).withColumnRenamed("mask", "_inner")
+    valid = (F.col("code").bitwiseAND(255) != 255) & (ref > 0) & (sec > 0)
+    return inner.withColumn("mask", valid & ~F.col("_inner")).drop("_inner")
+
+
+def center_crop(pixels: DataFrame, size: int | str) -> DataFrame:
+    """The central ``size`` by ``size`` pixels of each frame, renumbered from 0; ``full`` leaves frames as they are.
+
+    A frame smaller than that makes the query fail.
+    """
+    if str(size).lower() == "full":
+        return pixels
+    n = int(size)
+    ends = pixels.groupBy("frame_id").agg((F.max("i") + 1).alias("_m"), (F.max("j") + 1).alias("_n"))
+    small = F.raise_error(F.concat(F.lit(f"a crop of {n} pixels is larger than frame "), F.col("frame_id").cast("string")))
+    ends = ends.withColumn("_n", F.when((F.col("_m") < n) | (F.col("_n") < n), small.cast("int")).otherwise(F.col("_n")))
+    p = pixels.join(ends, "frame_id")
+    p = p.withColumn("i", F.col("i") - F.floor((F.col("_m") - n) / 2).cast("int")).withColumn("j", F.col("j") - F.floor((F.col("_n") - n) / 2).cast("int"))
+    return p.where(F.col("i").between(0, n - 1) & F.col("j").between(0, n - 1)).drop("_m", "_n")
 
 
 def multilook(pixels: DataFrame, looks: int) -> DataFrame:
-    """Coherent sum of ``(re, im)`` over blocks, its unit phasor, the mean coherence, and whether half the block is valid.
+    """Coherent sum of ``(re, im)`` over blocks as a unit phasor, the mean coherence, and whether half the block is valid.
 
-    Rows and columns that do not fill a block are left out.
+    Valid pixels are unmasked and not zero. A block with fewer than half of them is zero. Rows and columns that do not
+    fill a block are left out.
     """
     size = pixels.groupBy("frame_id").agg(F.floor((F.max("i") + 1) / looks).alias("m"), F.floor((F.max("j") + 1) / looks).alias("n"))
-    p = pixels.withColumn("bi", F.floor(F.col("i") / looks)).withColumn("bj", F.floor(F.col("j") / looks)).join(F.broadcast(size), "frame_id").where("bi < m and bj < n")
-    valid = lambda c: F.sum(F.when(F.col("mask"), F.col(c)))
-    g = p.groupBy("frame_id", "bi", "bj").agg(valid("re").alias("sr"), valid("im").alias("si"), F.avg(F.when(F.col("mask"), F.col("corr"))).alias("corr"), F.sum(F.col("mask").cast("int")).alias("n_valid"))
-    size = F.sqrt(F.col("sr") * F.col("sr") + F.col("si") * F.col("si"))
-    unit = lambda c: F.when(size > 0, F.col(c) / size).otherwise(0.0)
-    return g.select("frame_id", F.col("bi").cast("int").alias("i"), F.col("bj").cast("int").alias("j"), unit("sr").alias("re"), unit("si").alias("im"), F.coalesce("corr", F.lit(0.0)).alias("corr"), (2 * F.col("n_valid") >= looks * looks).alias("mask"))
+    p = pixels.withColumn("bi", F.floor(F.col("i") / looks)).withColumn("bj", F.floor(F.col("j") / looks)).join(size, "frame_id").where("bi < m and bj < n")
+    ok = F.col("mask") & ((F.col("re") != 0) | (F.col("im") != 0))
+    valid = lambda c: F.sum(F.when(ok, F.col(c)))
+    g = p.groupBy("frame_id", "bi", "bj").agg(valid("re").alias("sr"), valid("im").alias("si"), valid("corr").alias("sc"), F.sum(ok.cast("int")).alias("n_valid"))
+    half = 2 * F.col("n_valid") >= looks * looks
+    length = F.sqrt(F.col("sr") * F.col("sr") + F.col("si") * F.col("si"))
+    unit = lambda c: F.when(half & (length > 0), F.col(c) / length).otherwise(0.0)
+    corr = F.when(half & (F.col("n_valid") > 0), F.col("sc") / F.col("n_valid")).otherwise(0.0)
+    return g.select("frame_id", F.col("bi").cast("int").alias("i"), F.col("bj").cast("int").alias("j"), unit("sr").alias("re"), unit("si").alias("im"), corr.alias("corr"), half.alias("mask"))
 
 
 def interferogram(first: DataFrame, second: DataFrame, looks: int) -> DataFrame:
@@ -133,7 +176,7 @@ def upsampled(coarse: DataFrame, looks: int, rows: int, cols: int) -> DataFrame:
     """Block replication of ``coarse(frame_id, i, j, v)``; the last cell also covers what is left over."""
     fine = coarse.sparkSession.range(rows * cols).select(F.floor(F.col("id") / cols).cast("int").alias("i"), (F.col("id") % cols).cast("int").alias("j"))
     ends = coarse.groupBy("frame_id").agg(F.max("i").alias("mi"), F.max("j").alias("mj"))
-    cell = fine.crossJoin(F.broadcast(ends)).withColumn("ci", F.least(F.floor(F.col("i") / looks), F.col("mi"))).withColumn("cj", F.least(F.floor(F.col("j") / looks), F.col("mj")))
+    cell = fine.crossJoin(ends).withColumn("ci", F.least(F.floor(F.col("i") / looks), F.col("mi"))).withColumn("cj", F.least(F.floor(F.col("j") / looks), F.col("mj")))
     c = coarse.select("frame_id", F.col("i").alias("ci"), F.col("j").alias("cj"), "v")
     return cell.join(c, ["frame_id", "ci", "cj"]).select("frame_id", "i", "j", "v")
 

@@ -20,7 +20,7 @@ def ambiguity_errors(pixels: DataFrame) -> DataFrame:
     """
     valid = pixels.where(F.col("unw").isNotNull() & ~F.isnan("unw"))
     off = valid.groupBy("frame_id").agg((F.rint(F.median(F.col("unw") - F.col("truth")) / TAU) * TAU).alias("_off"))
-    at = valid.join(F.broadcast(off), "frame_id")
+    at = valid.join(off, "frame_id")
     k = lambda x: F.rint((x - F.col("psi")) / TAU).cast("int")
     at = at.withColumn("k_true", k(F.col("truth") + F.col("_off"))).withColumn("k_error", k(F.col("unw")) - F.col("k_true"))
     return at.drop("_off")

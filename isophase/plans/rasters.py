@@ -57,7 +57,7 @@ def event_stack(spark: SparkSession, sf_dir: str, graph: TemporalGraph) -> DataF
     users = ev.select("user_id").distinct()
     edges = spark.createDataFrame([(e, a, b) for e, (a, b) in enumerate(graph.edges)], "e int, from_date int, to_date int")
     at = lambda d, name: per.select(F.col("user_id").alias(f"u_{name}"), F.col("day").alias(d), F.col("theta").alias(name))
-    s = users.crossJoin(F.broadcast(edges))
+    s = users.crossJoin(edges)
     for d, name in (("from_date", "a"), ("to_date", "b")):
         o = at(f"d_{name}", name)
         s = s.join(o, (F.col("user_id") == F.col(f"u_{name}")) & (F.col(d) == F.col(f"d_{name}")), "left")
@@ -84,7 +84,7 @@ CTE = {
  pix AS (SELECT frame_id, i, j, x - CAST({TAU} AS DOUBLE) * round(x / CAST({TAU} AS DOUBLE)) AS psi, coalesce(1 - CAST(d AS DOUBLE) / n * CAST(0.09 AS DOUBLE), 0) AS corr, (s <> 'P' AND n IS NOT NULL) AS mask, CAST(q AS DOUBLE) / n / 20 AS variance FROM ramp)""",
     "stack": f"""
  per AS (SELECT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day, sum(CAST(round(value * 1000) AS BIGINT)) / CAST(1000 AS DOUBLE) AS theta FROM events GROUP BY 1, 2),
- pairs AS (SELECT a, a + g AS b, CAST(row_number() OVER (ORDER BY a, g) - 1 AS INT) AS e FROM range(10) t(a), (VALUES (1), (2)) v(g) WHERE a + g < 10),
+ pairs AS (SELECT a, a + g AS b, CAST(row_number() OVER (ORDER BY a, g) - 1 AS INT) AS e FROM range({DAYS}) t(a), (VALUES (1), (2)) v(g) WHERE a + g < {DAYS}),
  stack AS (SELECT e, CAST(a AS INT) AS from_date, CAST(b AS INT) AS to_date, user_id AS i, 0 AS j, w - CAST({TAU} AS DOUBLE) * round(w / CAST({TAU} AS DOUBLE)) AS unw FROM (
    SELECT e, a, b, u.user_id, coalesce(pb.theta, 0) - coalesce(pa.theta, 0) AS w FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN pairs LEFT JOIN per pa ON pa.user_id = u.user_id AND pa.day = a LEFT JOIN per pb ON pb.user_id = u.user_id AND pb.day = b))""",
     "camp": """
@@ -92,7 +92,6 @@ CTE = {
  camp AS (SELECT c_name AS key, c_nationkey AS track, CAST(c_custkey % 50 AS INT) AS frame, CASE WHEN c_custkey % 2 = 0 THEN 'A' ELSE 'D' END AS direction,
    1 - CAST(((c % 2000) + 2000) % 2000 AS DOUBLE) / 10000 AS score, CAST(((c % 30000) + 30000) % 30000 AS DOUBLE) / 100 AS runtime_s, 1000000 + ((c % 7) + 7) % 7 * 250000 AS num_pixels, 512 + ((c % 11) + 11) % 11 * 128 AS peak_rss_mb FROM cents)""",
 }
-CTE["stack_all"] = CTE["stack"].replace("range(10)", f"range({DAYS})").replace("a + g < 10", f"a + g < {DAYS}")
 
 
 def sql(body: str, *names: str) -> str:

@@ -50,13 +50,15 @@ def unwrap_tiled(pixels: DataFrame, rows: int, cols: int, nlooks: float, tile: i
     """``(frame_id, i, j, unw)`` of ``pixels(frame_id, i, j, psi, corr, mask)``, frames of ``rows`` by ``cols``.
 
     Masked pixels are left out. Only seams, a few numbers per tile, meet in one task per frame. Solved tiles are read
-    three times and are checkpointed if ``spark.checkpoint.dir`` is set, else kept on disk.
+    three times and are checkpointed; without ``spark.checkpoint.dir`` they are kept on disk on a local master only.
     """
     if not 0 < overlap < tile:
         raise ValueError("overlap must be positive and less than the tile")
     n_rows, n_cols = len(fr.tile_starts(rows, tile, overlap)), len(fr.tile_starts(cols, tile, overlap))
     tiles = solved_tiles(pixels, rows, cols, nlooks, tile, overlap, options)
     shared = pixels.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not shared and not pixels.sparkSession.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     tiles = tiles.checkpoint() if shared else tiles.persist(StorageLevel.DISK_ONLY)
 
     def shifts(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -71,18 +71,18 @@ def residues_interior(spark, sf_dir):
     return st.residues(orders_raster(spark, sf_dir))
 
 
-_SIDES = " UNION ALL ".join(
-    f"SELECT frame_id, '{side}' AS side, {at} + 1 AS at, {sign}{_CYC.format(f'psi - {q}')} AS charge FROM n4 WHERE {where} AND {q} IS NOT NULL"
+_ALL_SIDES = " UNION ALL ".join(
+    f"SELECT frame_id, '{side}' AS side, {at} + 1 AS at, {sign}{_CYC.format(f'psi - {q}')} AS charge, mask AND {q[0]}m AS both_ FROM n4 WHERE {where} AND {q} IS NOT NULL"
     for side, where, at, q, sign in (("top", "i = 0", "j", "rp", "-"), ("bottom", "i = (SELECT max(i) FROM pix)", "j", "rp", ""), ("left", "j = 0", "i", "dp", ""), ("right", "j = (SELECT max(j) FROM pix)", "i", "dp", "-"))
 )
 
 
-@_query(_neigh(f"SELECT * FROM ({_SIDES}) WHERE charge <> 0"))
+@_query(_neigh(f"SELECT * EXCLUDE (both_) FROM ({_ALL_SIDES}) WHERE charge <> 0 AND both_"))
 def residues_frame(spark, sf_dir):
     return st.frame_deposits(orders_raster(spark, sf_dir))
 
 
-@_query(_neigh(f"SELECT 'orders' AS frame_id, CAST((SELECT sum({_CURL}) FROM n4 WHERE xp IS NOT NULL) + (SELECT sum(charge) FROM ({_SIDES})) AS BIGINT) AS total"))
+@_query(_neigh(f"SELECT 'orders' AS frame_id, CAST((SELECT sum({_CURL}) FROM n4 WHERE xp IS NOT NULL) + (SELECT sum(charge) FROM ({_ALL_SIDES})) AS BIGINT) AS total"))
 def residue_balance(spark, sf_dir):
     p = orders_raster(spark, sf_dir).withColumn("mask", F.lit(True))
     both = st.residues(p).select("frame_id", "charge").unionByName(st.frame_deposits(p).select("frame_id", "charge"))
@@ -137,12 +137,14 @@ def crlb_arc_costs(spark, sf_dir):
     return co.crlb_costs(_edge_variances(spark, sf_dir)).select("frame_id", "dir", "i", "j", "cost_plus", "cost_minus")
 
 
-@_query("SELECT i, j, round(v, 6) AS v FROM (SELECT i, j, avg(w) OVER (PARTITION BY j ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS v, i BETWEEN 3 AND (SELECT max(i) FROM pix) - 3 AND j BETWEEN 3 AND 121 AS inner_ FROM (SELECT i, j, avg(corr) OVER (PARTITION BY i ORDER BY j ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS w FROM pix)) WHERE inner_", "pix")
+@_query(
+    "WITH " + CTE["pix"] + """, r AS (SELECT i, min(j) AS a, max(j) AS b FROM pix GROUP BY 1), c AS (SELECT j, min(i) AS a, max(i) AS b FROM pix GROUP BY 1),
+ w AS (SELECT p.i, p.j, avg(q.corr) AS w FROM pix p JOIN r USING (i) CROSS JOIN range(-3, 4) o(k) JOIN pix q ON q.i = p.i AND q.j = greatest(least(p.j + k, b), a) GROUP BY 1, 2)
+ SELECT p.i, p.j, round(avg(q.w), 6) AS v FROM w p JOIN c USING (j) CROSS JOIN range(-3, 4) o(k) JOIN w q ON q.j = p.j AND q.i = greatest(least(p.i + k, b), a) GROUP BY 1, 2"""
+)
 def box_smooth(spark, sf_dir):
     p = orders_raster(spark, sf_dir).select("frame_id", "i", "j", F.col("corr").alias("v"))
-    last = p.agg(F.max("i").alias("last"))
-    out = st.box_filter(p, 7, 7).crossJoin(F.broadcast(last)).where("i between 3 and last - 3 and j between 3 and 121")
-    return _round(out.select("i", "j", "v"), 6, "v")
+    return _round(st.box_filter(p, 7, 7).select("i", "j", "v"), 6, "v")
 
 
 @_query("SELECT i, j FROM pix p WHERE NOT EXISTS (SELECT 1 FROM pix q WHERE NOT q.mask AND q.i BETWEEN p.i - 2 AND p.i + 2 AND abs(q.i - p.i) + abs(q.j - p.j) <= 2)", "pix")
@@ -160,15 +162,30 @@ def mask_policy(spark, sf_dir):
     return c.select("code", ph.mask_policy(code, "subswath").alias("subswath"), ph.mask_policy(code, "water_only").alias("water_only"), ph.mask_policy(code, "water_and_subswath").alias("both_"), ph.water_mask(code).alias("water"))
 
 
+_LK = "FILTER (WHERE mask AND re <> 0)"
+
+
 @_query(
-    "SELECT CAST(i // 5 AS INT) AS i, CAST(j // 5 AS INT) AS j, round(coalesce(avg(corr) FILTER (WHERE mask), 0), 6) AS corr, 2 * count(*) FILTER (WHERE mask) >= 25 AS mask, round(coalesce(sum(psi) FILTER (WHERE mask), 0) / sqrt(coalesce(sum(psi) FILTER (WHERE mask), 0) ** 2 + count(*) FILTER (WHERE mask) ** 2 + 1e-300), 6) + 0.0 AS re FROM pix WHERE i // 5 < (SELECT max(i) + 1 FROM pix) // 5 GROUP BY 1, 2",
+    f"SELECT i, j, round(CASE WHEN half THEN sc / CAST(n AS DOUBLE) ELSE 0 END, 6) + 0.0 AS corr, half AS mask, round(CASE WHEN half AND sr * sr + n * n > 0 THEN sr / sqrt(sr * sr + n * n) ELSE 0 END, 6) + 0.0 AS re FROM (SELECT CAST(i // 5 AS INT) AS i, CAST(j // 5 AS INT) AS j, sum(corr) {_LK} AS sc, sum(re) {_LK} AS sr, count(*) {_LK} AS n, 2 * count(*) {_LK} >= 25 AS half FROM (SELECT i, j, mask, floor(psi * 1000) AS re, floor(corr * 10000) AS corr FROM pix) WHERE i // 5 < (SELECT max(i) + 1 FROM pix) // 5 GROUP BY 1, 2)",
     "pix",
 )
 def multilook(spark, sf_dir):
-    p = orders_raster(spark, sf_dir).withColumn("re", F.col("psi")).withColumn("im", F.lit(1.0))
+    whole = lambda c, f: F.floor(F.col(c) * f).cast("double")  # noqa: E731 - sums of whole numbers are the same in any order
+    p = orders_raster(spark, sf_dir).withColumn("re", whole("psi", 1000)).withColumn("corr", whole("corr", 10000)).withColumn("im", F.when(F.col("re") != 0, F.lit(1.0)).otherwise(0.0))
     return _round(st.multilook(p, 5), 6, "corr", "re").select("i", "j", "corr", "mask", "re")
 
 
+@_query("WITH " + CTE["pix"] + ", w AS (SELECT i, j, CAST((i * 125 + j) * 7 % 223 AS INT) AS code FROM pix) SELECT i, j, code // 10 % 10 > 0 AND code % 10 > 0 AND NOT (code // 100 <> 0 AND NOT EXISTS (SELECT 1 FROM w q WHERE q.code // 100 = 0 AND abs(q.i - p.i) + abs(q.j - p.j) <= 1)) AS mask FROM w p")
+def open_water(spark, sf_dir):
+    p = orders_raster(spark, sf_dir).select("frame_id", "i", "j", ((F.col("i") * 125 + F.col("j")) * 7 % 223).cast("int").alias("code"))
+    return st.open_water_mask(p, 1).select("i", "j", "mask")
+
+
+@_query("SELECT i - (max(i) OVER () + 1 - 40) // 2 AS i, j - 42 AS j, mask FROM pix QUALIFY i - (max(i) OVER () + 1 - 40) // 2 BETWEEN 0 AND 39 AND j - 42 BETWEEN 0 AND 39", "pix")
+def center_crop(spark, sf_dir):
+    return st.center_crop(orders_raster(spark, sf_dir), 40).select("i", "j", "mask")
+
+
 _STEP = f"CAST(-round((psi - {{}}) / {_D.format(TAU)}) AS INT)"
 
 
@@ -228,16 +245,15 @@ def boundary_pixels(spark, sf_dir):
     return st.boundary_pixels(_labels(spark, sf_dir).select("frame_id", "i", "j", "label"), 200).select("label", "i", "j", F.col("rank").cast("int").alias("rank"))
 
 
-_STARTS = "CASE t WHEN 0 THEN 0 WHEN 1 THEN 40 ELSE 75 END"
+_TILES = "SELECT k AS t, least(k * 40, greatest(n - 50, 0)) AS s0 FROM (SELECT n, unnest(range(greatest(CAST(ceil((n - 50) / 40.0) AS BIGINT), 0) + 1)) AS k FROM (SELECT {} AS n))"
 
 
-@_query(f"SELECT CAST(a.t AS INT) AS tile_c, count(*) AS n, CAST(sum(i * 125 + j) AS BIGINT) AS s FROM pix JOIN (SELECT t, {_STARTS} AS s0 FROM range(3) r(t)) a ON j BETWEEN s0 AND s0 + 49 GROUP BY 1", "pix")
+@_query(f"SELECT CAST(r.t AS INT) AS tile_r, CAST(c.t AS INT) AS tile_c, count(*) AS n, CAST(sum(i * 125 + j) AS BIGINT) AS s FROM pix JOIN ({_TILES.format('(SELECT max(i) + 1 FROM pix)')}) r ON i BETWEEN r.s0 AND r.s0 + 49 JOIN ({_TILES.format(WIDTH)}) c ON j BETWEEN c.s0 AND c.s0 + 49 GROUP BY 1, 2", "pix")
 def tile_decompose(spark, sf_dir):
-    d = fr.decomposed(orders_raster(spark, sf_dir).select("frame_id", "i", "j"), 50, WIDTH, 50, 10).where("tile_r = 0")
-    # one row of tiles covers rows 0..49; the others follow the same rule
-    p = orders_raster(spark, sf_dir).select("frame_id", "i", "j").withColumn("i0", F.col("i")).withColumn("i", F.lit(0))
-    d = fr.decomposed(p, 50, WIDTH, 50, 10)
-    return d.groupBy("tile_c").agg(F.count("*").alias("n"), F.sum((F.col("i0") * WIDTH + F.col("j")).cast("long")).alias("s"))
+    p = orders_raster(spark, sf_dir).select("frame_id", F.col("i").alias("i0"), F.col("j").alias("j0"), "i", "j")
+    rows = p.agg(F.max("i")).first()[0] + 1  # the raster's height, known from its metadata outside of tests
+    d = fr.decomposed(p, rows, WIDTH, 50, 10)
+    return d.groupBy("tile_r", "tile_c").agg(F.count("*").alias("n"), F.sum((F.col("i0") * WIDTH + F.col("j0")).cast("long")).alias("s"))
 
 
 @_query(f"SELECT tile, k, CAST(round(w) AS BIGINT) AS confidence FROM (SELECT tile, k, w, row_number() OVER (PARTITION BY tile ORDER BY round(w, 9) DESC, abs(k), k) AS n FROM (SELECT tile, k, sum(w) AS w FROM (SELECT j // 25 AS tile, CAST(round((psi * 2 + i % 7 * CAST(0.9 AS DOUBLE) - psi) / {_D.format(TAU)}) AS BIGINT) AS k, CASE WHEN corr > 0 THEN corr * corr ELSE CAST(0.001 AS DOUBLE) END AS w FROM pix) GROUP BY 1, 2)) WHERE n = 1", "pix")
@@ -263,31 +279,20 @@ def coherent_cut_rate(spark, sf_dir):
     return rate.select("frame_id", F.round(F.col("rate") / F.col("n"), 9).alias("rate"))
 
 
-#: The first ten days, which the SQL of three queries is written for; their ``_all`` forms take every day.
-_GRAPH, _ALL = day_pairs(10), day_pairs(DAYS)
+_ALL = day_pairs(DAYS)
 
 
 def _signs(rows: list[tuple[int, int, int]], name: str) -> str:
     return f"{name}(c, e, s) AS (VALUES {', '.join(map(str, rows))})"
 
 
-@_query("WITH " + CTE["stack"] + ", " + _signs(_GRAPH.cycles(), "loops") + f" SELECT i, CAST(max(abs(k)) AS INT) AS quality FROM (SELECT i, c, round(sum(s * unw) / {_D.format(TAU)}) AS k FROM stack JOIN loops USING (e) GROUP BY 1, 2) GROUP BY 1")
+@_query("WITH " + CTE["stack"] + ", " + _signs(_ALL.cycles(), "loops") + f" SELECT i, CAST(max(abs(k)) AS INT) AS quality FROM (SELECT i, c, round(sum(s * unw) / {_D.format(TAU)}) AS k FROM stack JOIN loops USING (e) GROUP BY 1, 2) GROUP BY 1")
 def closure_quality(spark, sf_dir):
-    return cl.cycle_quality(event_stack(spark, sf_dir, _GRAPH), _GRAPH).select("i", "quality")
-
-
-@_query("WITH " + CTE["stack_all"] + ", " + _signs(_ALL.cycles(), "loops") + f" SELECT i, CAST(max(abs(k)) AS INT) AS quality FROM (SELECT i, c, round(sum(s * unw) / {_D.format(TAU)}) AS k FROM stack JOIN loops USING (e) GROUP BY 1, 2) GROUP BY 1")
-def closure_quality_all(spark, sf_dir):
     return cl.cycle_quality(event_stack(spark, sf_dir, _ALL), _ALL).select("i", "quality")
 
 
-@_query("WITH " + CTE["stack"] + ", " + _signs(_GRAPH.triangles(), "loops") + f" SELECT i, CAST(max(abs(k)) AS INT) AS quality FROM (SELECT i, c, round(sum(s * unw) / {_D.format(TAU)}) AS k FROM stack JOIN loops USING (e) GROUP BY 1, 2) GROUP BY 1")
+@_query("WITH " + CTE["stack"] + ", " + _signs(_ALL.triangles(), "loops") + f" SELECT i, CAST(max(abs(k)) AS INT) AS quality FROM (SELECT i, c, round(sum(s * unw) / {_D.format(TAU)}) AS k FROM stack JOIN loops USING (e) GROUP BY 1, 2) GROUP BY 1")
 def triangle_quality(spark, sf_dir):
-    return cl.triangle_quality(event_stack(spark, sf_dir, _GRAPH), _GRAPH).select("i", "quality")
-
-
-@_query("WITH " + CTE["stack_all"] + ", " + _signs(_ALL.triangles(), "loops") + f" SELECT i, CAST(max(abs(k)) AS INT) AS quality FROM (SELECT i, c, round(sum(s * unw) / {_D.format(TAU)}) AS k FROM stack JOIN loops USING (e) GROUP BY 1, 2) GROUP BY 1")
-def triangle_quality_all(spark, sf_dir):
     return cl.triangle_quality(event_stack(spark, sf_dir, _ALL), _ALL).select("i", "quality")
 
 
@@ -299,13 +304,8 @@ def _along(graph: cl.TemporalGraph) -> str:
     return f"along(x, e, s) AS (VALUES {', '.join(map(str, rows))})"
 
 
-@_query("WITH " + CTE["stack"] + ", " + _along(_GRAPH) + f", p AS (SELECT x AS e, i, sum(s * unw) AS p FROM stack JOIN along USING (e) GROUP BY 1, 2) SELECT e, i, coalesce(CAST(round((unw - p) / {_D.format(TAU)}) AS INT), 0) AS k, round(unw - {_D.format(TAU)} * coalesce(round((unw - p) / {_D.format(TAU)}), 0), 6) + 0.0 AS corrected FROM stack LEFT JOIN p USING (e, i)")
+@_query("WITH " + CTE["stack"] + ", " + _along(_ALL) + f", p AS (SELECT x AS e, i, sum(s * unw) AS p FROM stack JOIN along USING (e) GROUP BY 1, 2) SELECT e, i, coalesce(CAST(round((unw - p) / {_D.format(TAU)}) AS INT), 0) AS k, round(unw - {_D.format(TAU)} * coalesce(round((unw - p) / {_D.format(TAU)}), 0), 6) + 0.0 AS corrected FROM stack LEFT JOIN p USING (e, i)")
 def closure_correct(spark, sf_dir):
-    return _round(cl.closure_correct(event_stack(spark, sf_dir, _GRAPH), _GRAPH).select("e", "i", "k", "corrected"), 6, "corrected")
-
-
-@_query("WITH " + CTE["stack_all"] + ", " + _along(_ALL) + f", p AS (SELECT x AS e, i, sum(s * unw) AS p FROM stack JOIN along USING (e) GROUP BY 1, 2) SELECT e, i, coalesce(CAST(round((unw - p) / {_D.format(TAU)}) AS INT), 0) AS k, round(unw - {_D.format(TAU)} * coalesce(round((unw - p) / {_D.format(TAU)}), 0), 6) + 0.0 AS corrected FROM stack LEFT JOIN p USING (e, i)")
-def closure_correct_all(spark, sf_dir):
     return _round(cl.closure_correct(event_stack(spark, sf_dir, _ALL), _ALL).select("e", "i", "k", "corrected"), 6, "corrected")
 
 
@@ -317,6 +317,23 @@ def closure_refine(spark, sf_dir):
     return out.select("i", "violations", "iterations")
 
 
+_K_ERROR = "CAST(CASE WHEN i % 7 = from_date % 7 THEN 1 ELSE 0 END AS INT)"
+
+
+@_query(
+    "WITH " + CTE["stack"] + f""", s AS (SELECT from_date, to_date, i, unw AS psi, {_K_ERROR} AS k FROM stack),
+ t AS (SELECT CAST(d AS INT) AS a, CAST(d + 1 AS INT) AS b, CAST(d + 2 AS INT) AS c FROM range({DAYS} - 2) r(d)),
+ p AS (SELECT a, b, c, x.i, x.psi + y.psi - z.psi AS psi, x.k + y.k - z.k AS k, x.k <> 0 OR y.k <> 0 OR z.k <> 0 AS wrong FROM t JOIN s x ON x.from_date = a AND x.to_date = b JOIN s y ON y.from_date = b AND y.to_date = c AND y.i = x.i JOIN s z ON z.from_date = a AND z.to_date = c AND z.i = x.i WHERE x.i % 11 <> 0),
+ m AS (SELECT *, psi - {_D.format(TAU)} * round(psi / {_D.format(TAU)}) AS mis FROM p)
+ SELECT a, b, c, count(*) AS n, round(100 * avg(CAST(round((psi + k * {_D.format(TAU)} - mis) / {_D.format(TAU)}) <> 0 AS INT)), 6) AS pct_k_closure, round(100 * avg(CAST(wrong AS INT)), 6) AS pct_true_any, round(quantile_cont(abs(mis), 0.95), 6) + 0.0 AS wrapped_p95 FROM m GROUP BY 1, 2, 3"""
+)
+def triplet_closure(spark, sf_dir):
+    s = event_stack(spark, sf_dir, _ALL).withColumn("psi", F.col("unw")).withColumn("k_error", F.expr(_K_ERROR))
+    unw = F.when((F.col("i") % 11 != 0) | (F.col("to_date") - F.col("from_date") != 2), F.col("psi") + F.lit(float(TAU)) * F.col("k_error")).otherwise(F.lit(float("nan")))
+    out = cl.triplet_closure(s.withColumn("unw", unw), DAYS, "short")
+    return _round(out, 6, "pct_k_closure", "pct_true_any", "wrapped_p95")
+
+
 def _products(spark, sf_dir):
     p = _labels(spark, sf_dir)
     prod = F.col("psi") + F.lit(float(TAU)) * F.floor(F.col("j") / 20)
@@ -397,7 +414,7 @@ def inventory_join(spark, sf_dir):
 @_query("SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-06-30'")
 def reference_dates(spark, sf_dir):
     o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    return o.where(F.col("o_orderdate").between(F.expr("TIMESTAMP_NTZ'1995-01-01'"), F.expr("TIMESTAMP_NTZ'1996-06-30'"))).select("o_orderkey")
+    return ca.within_dates(o, F.expr("TIMESTAMP_NTZ'1995-01-01'"), F.expr("TIMESTAMP_NTZ'1996-06-30'"), "o_orderdate").select("o_orderkey")
 
 
 @_query("SELECT track, frame, direction, key, runtime_s FROM (SELECT *, row_number() OVER (PARTITION BY track, frame, direction ORDER BY runtime_s, key) AS n FROM camp) WHERE n = 1", "camp")
@@ -418,8 +435,25 @@ def worst_k(spark, sf_dir):
 @_query("SELECT track, key, runtime_s FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY runtime_s DESC, key) AS n FROM camp WHERE runtime_s >= 100) WHERE n = 1 ORDER BY runtime_s DESC, track LIMIT 10", "camp")
 def rerun_manifest(spark, sf_dir):
     c = campaign(spark, sf_dir).select("track", "key", "runtime_s")
-    slow = ca.one_per_frame(c.where("runtime_s >= 100"), ["track"], [F.col("runtime_s").desc(), F.col("key").asc()])
-    return slow.orderBy(F.col("runtime_s").desc(), "track").limit(10)
+    return ca.slowest_unique(c, "track", "runtime_s", 100, 10, "key")
+
+
+@_query("SELECT num_pixels, count(*) AS n FROM camp GROUP BY 1 ORDER BY n DESC, num_pixels LIMIT 1", "camp")
+def usual_size(spark, sf_dir):
+    return ca.usual(campaign(spark, sf_dir), "num_pixels")
+
+
+@_query("SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def missing_records(spark, sf_dir):
+    wanted = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
+    return ca.with_missing(wanted, _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")).distinct(), "key")[1]
+
+
+@_query("SELECT p_partkey, p_size, round(13 * (p_size % 5 + 1) / ((CAST(299792458.0 AS DOUBLE) / (2 * (77000000 + CAST(p_partkey AS DOUBLE)))) / CAST(1.5 AS DOUBLE) * ((1 / CAST(0.0006 AS DOUBLE)) / (1200 + p_size))), 6) AS looks FROM part")
+def nominal_looks(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    looks = ph.nominal_looks(F.lit(13), F.col("p_size") % 5 + 1, 77000000 + F.col("p_partkey").cast("double"), F.lit(1.5), F.lit(0.0006), 1200 + F.col("p_size"))
+    return _round(p.select("p_partkey", "p_size", looks.alias("looks")), 6, "looks")
 
 
 @_query("SELECT CASE WHEN score >= CAST(0.99 AS DOUBLE) THEN 'good' WHEN score >= CAST(0.90 AS DOUBLE) THEN 'fair' ELSE 'poor' END AS tier, count(*) AS n, round(avg(runtime_s), 6) AS mean_runtime FROM camp GROUP BY 1", "camp")
@@ -549,6 +583,18 @@ def unwrap_frames(spark, sf_dir):
     return _congruence(solved.join(p.select("frame_id", "i", "j", "psi"), ["frame_id", "i", "j"]), F.col("psi"), "frame_id")
 
 
+@_query("SELECT CAST(i // 30 AS VARCHAR) AS frame_id, count(*) AS n, round(CAST(0.9 AS DOUBLE) * (max(i % 30 + j) - min(i % 30 + j)), 6) AS rise, CAST(0 AS BIGINT) AS n_off FROM pix GROUP BY 1", "pix")
+def unwrap_ramps(spark, sf_dir):
+    """Frames of a ramp of many cycles, known without noise: the solution must rise as the ramp does, at every pixel."""
+    ramp = 0.9 * (F.col("i") + F.col("j"))
+    p = _strips(spark, sf_dir).withColumn("truth", ramp).withColumn("psi", ph.wrap(ramp)).withColumn("corr", F.lit(0.9)).withColumn("mask", F.lit(True))
+    solved = api.unwrap(p, LOOKS, api.Options(bridge=False)).join(p.select("frame_id", "i", "j", "truth"), ["frame_id", "i", "j"])
+    level = solved.groupBy("frame_id").agg(F.min(F.struct("i", "j", (F.col("unw") - F.col("truth")).alias("d")))["d"].alias("d"))
+    off = F.abs(F.col("unw") - F.col("truth") - F.col("d")) > 1e-6
+    out = solved.join(level, "frame_id").groupBy("frame_id").agg(F.count("*").alias("n"), (F.max("unw") - F.min("unw")).alias("rise"), F.sum(off.cast("long")).alias("n_off"))
+    return _round(out, 6, "rise")
+
+
 @_query()
 def unwrap_components(spark, sf_dir):
     return api.unwrap(_strips(spark, sf_dir), LOOKS).select("frame_id", "i", "j", "label")

@@ -19,9 +19,9 @@ class Meta:
     layout: str = "auto"
 
 
-#: Keys of the parameter files, the first one that is there counts.
-_WIDTH_KEYS = ("width", "interferogram_width", "range_samp", "range_samples")
-_ROWS_KEYS = ("nlines", "interferogram_azimuth_lines", "az_samp", "azimuth_lines")
+#: Keys of the parameter files; of several in a file, the first counts.
+_WIDTH_KEYS = {"width", "range_samp", "range_samples", "interferogram_width"}
+_ROWS_KEYS = {"nlines", "az_samp", "azimuth_lines", "interferogram_azimuth_lines"}
 
 
 def parse_rsc(text: str) -> Meta:
@@ -44,13 +44,18 @@ def parse_xml(text: str) -> Meta:
 
 
 def parse_par(text: str) -> Meta:
-    pairs = {}
+    """A colon-keyed parameter file, which stands for big-endian rasters; without a width it is an error."""
+    width = rows = None
     for line in text.splitlines():
         key, colon, rest = line.partition(":")
-        if colon and rest.split():
-            pairs.setdefault(key.strip(), rest.split()[0])
-    first = lambda keys: next((int(float(pairs[k])) for k in keys if k in pairs), None)
-    return Meta(first(_WIDTH_KEYS), first(_ROWS_KEYS), True)
+        value = rest.split()[0] if colon and rest.split() else None
+        if value and key.strip() in _WIDTH_KEYS and width is None:
+            width = int(value)
+        elif value and key.strip() in _ROWS_KEYS and rows is None:
+            rows = int(value)
+    if width is None:
+        raise ValueError("no key with the width")
+    return Meta(width, rows, True)
 
 
 def parse_sidecar(name: str, text: str) -> Meta:

@@ -26,8 +26,8 @@ def test_a_misclosure_of_late_days_counts(spark, tmp_path):
     wrap = lambda x: x - math.tau * round(x / math.tau)
     want = max(abs(round((wrap(theta[a + 1] - theta[a]) + wrap(theta[a + 2] - theta[a + 1]) - wrap(theta[a + 2] - theta[a])) / math.tau)) for a in range(28))
     assert want == 1
-    assert {r.i: r.quality for r in q["triangle_quality_all"](spark, str(tmp_path)).collect()} == {1: want, 2: 0}
-    assert {r.i: r.quality > 0 for r in q["closure_quality_all"](spark, str(tmp_path)).collect()} == {1: True, 2: False}
-    k = q["closure_correct_all"](spark, str(tmp_path))
+    assert {r.i: r.quality for r in q["triangle_quality"](spark, str(tmp_path)).collect()} == {1: want, 2: 0}
+    assert {r.i: r.quality > 0 for r in q["closure_quality"](spark, str(tmp_path)).collect()} == {1: True, 2: False}
+    k = q["closure_correct"](spark, str(tmp_path))
     assert k.count() == 2 * 57 and {r.i for r in k.where("k <> 0").collect()} == {1}
     assert {r.i: r.iterations > 0 for r in q["closure_refine"](spark, str(tmp_path)).collect()} == {1: True, 2: False}
