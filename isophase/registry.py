@@ -181,9 +181,9 @@ def open_water(spark, sf_dir):
     return st.open_water_mask(p, 1).select("i", "j", "mask")
 
 
-@_query("SELECT i - (max(i) OVER () + 1 - 40) // 2 AS i, j - 42 AS j, mask FROM pix QUALIFY i - (max(i) OVER () + 1 - 40) // 2 BETWEEN 0 AND 39 AND j - 42 BETWEEN 0 AND 39", "pix")
+@_query("SELECT i - (max(i) OVER () + 1 - 10) // 2 AS i, j - 57 AS j, mask FROM pix QUALIFY i - (max(i) OVER () + 1 - 10) // 2 BETWEEN 0 AND 9 AND j - 57 BETWEEN 0 AND 9", "pix")
 def center_crop(spark, sf_dir):
-    return st.center_crop(orders_raster(spark, sf_dir), 40).select("i", "j", "mask")
+    return st.center_crop(orders_raster(spark, sf_dir), 10).select("i", "j", "mask")
 
 
 _STEP = f"CAST(-round((psi - {{}}) / {_D.format(TAU)}) AS INT)"
