@@ -1,7 +1,8 @@
 """Neighbourhood operators on pixel rows ``(frame_id, i, j, ...)``.
 
-Neighbours are found with windows over one row or one column of a frame, so every task holds at most one line of pixels;
-a missing pixel row is a missing neighbour, never the next one further on.
+Neighbours are found with windows over one row of a frame, or one column of a block of its rows, so every task holds at
+most one line of pixels, and frames of any height are spread over tasks; a missing pixel row is a missing neighbour, never
+the next one further on.
 """
 
 from __future__ import annotations
@@ -12,12 +13,38 @@ from pyspark.sql import functions as F
 from isophase.functions.phase import cycle_difference, mask_digits, wrap
 
 
+#: Rows of a frame in a block.
+BLOCK = 256
+
+
 def _row():
     return Window.partitionBy("frame_id", "i").orderBy("j")
 
 
 def _column():
-    return Window.partitionBy("frame_id", "j").orderBy("i")
+    return Window.partitionBy("frame_id", "_b", "j").orderBy("i")
+
+
+def _blocked(pixels: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
+    """``pixels`` with their block ``_b``, and copies (``_copy``) of the rows so far before and after each block."""
+    size = max(BLOCK, 2 * (before + after))
+    block = lambda i: F.floor(i / size).cast("int")
+    p = pixels.withColumn("_b", F.explode(F.sequence(block(F.col("i") - after), block(F.col("i") + before))))
+    return p.withColumn("_copy", F.col("_b") != block(F.col("i")))
+
+
+def _unblocked(pixels: DataFrame) -> DataFrame:
+    return pixels.where("not _copy").drop("_b", "_copy")
+
+
+def per_frame(rows: DataFrame, table: DataFrame, key: str = "frame_id", parts: int = 64) -> DataFrame:
+    """``rows`` with the columns of ``table``, one row of each frame; frames without one are left out.
+
+    A frame of any size is spread over ``parts`` keys, so a join that is not broadcast has no task for a whole frame.
+    """
+    t = table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    r = rows.withColumn("_part", F.pmod(F.hash(*(c for c in rows.columns if c != key)), F.lit(parts)))
+    return r.join(t, [key, "_part"]).drop("_part")
 
 
 def right(value: str) -> Column:
@@ -35,8 +62,8 @@ def residues(pixels: DataFrame) -> DataFrame:
     masked. ``i, j`` is the node at the loop's centre, counted from 1.
     """
     p = pixels.withColumn("r", right("psi")).withColumn("rm", right("mask"))
-    p = p.withColumn("d", below("psi")).withColumn("dm", below("mask")).withColumn("x", below("r")).withColumn("xm", below("rm"))
-    p = p.where("mask and rm and dm and xm")
+    p = _blocked(p, after=1).withColumn("d", below("psi")).withColumn("dm", below("mask")).withColumn("x", below("r")).withColumn("xm", below("rm"))
+    p = _unblocked(p).where("mask and rm and dm and xm")
     top, east = cycle_difference(F.col("psi"), F.col("r")), cycle_difference(F.col("r"), F.col("x"))
     bottom, west = cycle_difference(F.col("x"), F.col("d")), cycle_difference(F.col("d"), F.col("psi"))
     charge = top + east + bottom + west
@@ -48,8 +75,9 @@ def frame_deposits(pixels: DataFrame) -> DataFrame:
     """Residues on the frame of each image, which make the sum over all nodes zero where nothing is masked:
     ``(frame_id, side, at, charge)``. An edge with a masked end is skipped."""
     ends = pixels.groupBy("frame_id").agg(F.max("i").alias("last_i"), F.max("j").alias("last_j"))
-    p = pixels.join(ends, "frame_id").withColumn("rm", right("mask")).withColumn("dm", below("mask"))
-    p = p.withColumn("r", F.when(F.col("mask") & F.col("rm"), right("psi"))).withColumn("d", F.when(F.col("mask") & F.col("dm"), below("psi")))
+    p = pixels.withColumn("rm", right("mask")).withColumn("r", F.when(F.col("mask") & F.col("rm"), right("psi")))
+    p = _blocked(p, after=1).withColumn("dm", below("mask")).withColumn("d", F.when(F.col("mask") & F.col("dm"), below("psi")))
+    p = per_frame(_unblocked(p), ends)
     along, down = cycle_difference(F.col("psi"), F.col("r")), cycle_difference(F.col("psi"), F.col("d"))
     side = lambda name, where, at, charge: p.where(where).select("frame_id", F.lit(name).alias("side"), (F.col(at) + 1).alias("at"), charge.alias("charge"))
     out = side("top", "i = 0 and r is not null", "j", -along).unionByName(side("bottom", "i = last_i and r is not null", "j", along))
@@ -64,7 +92,9 @@ def edges(pixels: DataFrame) -> DataFrame:
     whether both or neither of the two pixels are valid.
     """
     def part(name: str, step) -> DataFrame:
-        p = pixels.withColumn("q", step("psi")).withColumn("qc", step("corr")).withColumn("qm", step("mask")).where("q is not null")
+        p = _blocked(pixels, after=1) if step is below else pixels
+        p = p.withColumn("q", step("psi")).withColumn("qc", step("corr")).withColumn("qm", step("mask")).where("q is not null")
+        p = _unblocked(p) if step is below else p
         return p.select("frame_id", F.lit(name).alias("dir"), "i", "j", wrap(F.col("q") - F.col("psi")).alias("gradient"), F.least("corr", "qc").alias("corr"), (F.col("mask") & F.col("qm")).alias("both"), (~F.col("mask") & ~F.col("qm")).alias("none"))
 
     return part("h", right).unionByName(part("v", below))
@@ -95,10 +125,13 @@ def masked_box_filter(values: DataFrame, k_row: int, k_col: int) -> DataFrame:
     return x.withColumn("v", F.when(F.col("_w") * (k_row * k_col) <= 1e-6, 0.0).otherwise(F.col("v") / F.col("_w"))).drop("_w")
 
 
-def _nearest(of: Column, axis: str, line) -> Column:
-    """Least ``of + |distance along the line|`` over the pixels of a line, by a running minimum from either end."""
-    ahead = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    back = line.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+def _nearest(of: Column, axis: str, *line: str) -> Column:
+    """Least ``of + |distance along the line|`` over the pixels of a line, by a running minimum from either end.
+
+    The way back is a window in falling order: one that ends at the last row is taken anew at each row, which is quadratic.
+    """
+    run = lambda order: Window.partitionBy(*line).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead, back = run(F.col(axis).asc()), run(F.col(axis).desc())
     return F.least(F.min(of - F.col(axis)).over(ahead) + F.col(axis), F.min(of + F.col(axis)).over(back) - F.col(axis))
 
 
@@ -106,11 +139,13 @@ def eroded(pixels: DataFrame, k: int) -> DataFrame:
     """``pixels`` whose ``mask`` is false within ``k`` steps of 4-neighbours of a false pixel; beyond the image is true.
 
     The distance in steps is found along the rows and then along the columns, and the other way round, so that a single
-    missing pixel is no obstacle. Rows stay one per pixel, whatever ``k`` is.
+    missing pixel is no obstacle. Columns are cut into blocks of rows, which see the ``k`` rows on either side of them:
+    distances beyond ``k`` are of no account. Rows are at most doubled, whatever ``k`` is.
     """
-    p = pixels.withColumn("_z", F.when(~F.col("mask"), F.lit(0)))
-    p = p.withColumn("_r", _nearest(F.col("_z"), "j", _row())).withColumn("_c", _nearest(F.col("_z"), "i", _column()))
-    p = p.withColumn("_rc", _nearest(F.col("_r"), "i", _column())).withColumn("_cr", _nearest(F.col("_c"), "j", _row()))
+    row, column = ("j", "frame_id", "i"), ("i", "frame_id", "_b", "j")
+    p = pixels.withColumn("_z", F.when(~F.col("mask"), F.lit(0))).withColumn("_r", _nearest(F.col("_z"), *row))
+    p = _blocked(p, k, k).withColumn("_c", _nearest(F.col("_z"), *column)).withColumn("_rc", _nearest(F.col("_r"), *column))
+    p = _unblocked(p).withColumn("_cr", _nearest(F.col("_c"), *row))
     far = F.coalesce(F.least("_rc", "_cr") > k, F.lit(True))
     return p.withColumn("mask", F.col("mask") & far).drop("_z", "_r", "_c", "_rc", "_cr")
 
@@ -187,8 +222,11 @@ def boundary_pixels(labels: DataFrame, most: int = 2000) -> DataFrame:
     The edge of the image is no boundary. Thinning takes every ``ceil(n / most)``-th pixel in raster order.
     """
     p = labels
-    for name, win, axis, step in (("e", _row(), "j", 1), ("w", _row(), "j", -1), ("s", _column(), "i", 1), ("n", _column(), "i", -1)):
-        p = p.withColumn(name, F.when(F.lead(axis, step).over(win) == F.col(axis) + step, F.lead("label", step).over(win)))
+    for win, axis, names in ((_row(), "j", "ew"), (_column(), "i", "sn")):
+        p = _blocked(p, 1, 1) if axis == "i" else p
+        for name, step in zip(names, (1, -1), strict=True):
+            p = p.withColumn(name, F.when(F.lead(axis, step).over(win) == F.col(axis) + step, F.lead("label", step).over(win)))
+    p = _unblocked(p)
     differs = [F.coalesce(F.col(c) != F.col("label"), F.lit(False)) for c in "ewsn"]
     edge = p.where((F.col("label") > 0) & (differs[0] | differs[1] | differs[2] | differs[3]))
     by = Window.partitionBy("frame_id", "label")
@@ -213,9 +251,10 @@ def itoh(pixels: DataFrame, flow_h: Column | None = None, flow_v: Column | None
     tau = F.lit(2 * 3.141592653589793)
     zero = F.lit(0)
     step_h = F.coalesce(-cycle_difference(F.col("psi"), F.lag("psi").over(_row())) + (zero if flow_h is None else flow_h), zero)
-    step_v = F.coalesce(-cycle_difference(F.col("psi"), F.lag("psi").over(_column())) + (zero if flow_v is None else flow_v), zero)
-    p = pixels.withColumn("sh", F.when(F.col("j") > 0, step_h).otherwise(zero)).withColumn("sv", F.when(F.col("i") > 0, step_v).otherwise(zero))
-    k0 = p.where("j = 0").select("frame_id", "i", F.sum("sv").over(Window.partitionBy("frame_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).alias("k0"))
+    up = Window.partitionBy("frame_id", "j").orderBy("i")
+    step_v = F.coalesce(-cycle_difference(F.col("psi"), F.lag("psi").over(up)) + (zero if flow_v is None else flow_v), zero)
+    p = pixels.withColumn("sh", F.when(F.col("j") > 0, step_h).otherwise(zero))
+    k0 = pixels.where("j = 0").withColumn("sv", F.when(F.col("i") > 0, step_v).otherwise(zero)).select("frame_id", "i", F.sum("sv").over(Window.partitionBy("frame_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).alias("k0"))
     p = p.join(k0, ["frame_id", "i"])
     k = F.col("k0") + F.sum("sh").over(_row().rowsBetween(Window.unboundedPreceding, 0))
     return p.select("frame_id", "i", "j", k.cast("int").alias("k"), (F.col("psi") + tau * k).alias("unw"))
