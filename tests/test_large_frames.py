@@ -49,3 +49,10 @@ def test_no_window_over_a_whole_column(spark):
     p = raster(spark, np.zeros((600, 2)), "psi", corr=0.5, mask=True)
     lines = st._blocked(p, after=1).groupBy("frame_id", "_b", "j").count()
     assert lines.agg(F.max("count")).first()[0] == st.BLOCK + 1 and lines.where("_b >= 0").count() == 6
+
+
+def test_open_water_of_a_long_column(spark):
+    p = spark.range(100_000, numPartitions=1).select(F.lit("a").alias("frame_id"), F.col("id").cast("int").alias("i"), F.lit(0).alias("j"), F.when(F.col("id") % 1000 == 0, 11).otherwise(111).cast("int").alias("code"))
+    began = time.time()
+    assert st.open_water_mask(p, 25).where("mask").count() == 51 * 100 - 25
+    assert time.time() - began < 30
