@@ -69,7 +69,15 @@ def tile_starts(total: int, tile: int, overlap: int) -> list[int]:
 
 def decomposed(pixels: DataFrame, rows: int, cols: int, tile: int, overlap: int) -> DataFrame:
     """``pixels`` once for each tile that they are in (at most four unless the last tile is moved in): ``tile_r, tile_c``."""
-    axis = lambda c, starts: F.filter(F.sequence(F.lit(0), F.lit(len(starts) - 1)), lambda t: (F.element_at(F.array(*map(F.lit, starts)), t + 1) <= F.col(c)) & (F.element_at(F.array(*map(F.lit, starts)), t + 1) + tile > F.col(c)))
+    none = F.array().cast("array<int>")
+
+    def axis(c: str, starts: list[int]) -> Column:
+        # all tiles but the last stand a step apart, so those that hold a pixel follow from its place
+        x, step, last = F.col(c), tile - overlap, len(starts) - 1
+        lo, hi = F.greatest(F.floor((x - tile) / step) + 1, F.lit(0)).cast("int"), F.least(F.floor(x / step), F.lit(last - 1)).cast("int")
+        end = F.when((x >= starts[-1]) & (x < starts[-1] + tile), F.array(F.lit(last))).otherwise(none)
+        return F.concat(F.when(hi >= lo, F.sequence(lo, hi)).otherwise(none), end)
+
     return pixels.withColumn("tile_r", F.explode(axis("i", tile_starts(rows, tile, overlap)))).withColumn("tile_c", F.explode(axis("j", tile_starts(cols, tile, overlap))))
 
 

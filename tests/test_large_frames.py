@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from isophase.operators import frames as fr
 from isophase.operators import stencil as st
 
 
@@ -56,3 +57,17 @@ def test_open_water_of_a_long_column(spark):
     began = time.time()
     assert st.open_water_mask(p, 25).where("mask").count() == 51 * 100 - 25
     assert time.time() - began < 30
+
+
+@pytest.mark.parametrize("rows,tile,overlap", [(9, 10, 3), (10, 10, 3), (23, 10, 3), (24, 10, 3), (95, 30, 6), (40, 7, 6)])
+def test_tiles_of_each_pixel(spark, rows, tile, overlap):
+    got = fr.decomposed(raster(spark, np.zeros((rows, 4)), "v"), rows, 4, tile, overlap)
+    starts = fr.tile_starts(rows, tile, overlap)
+    want = sorted((i, t) for i in range(rows) for t, s in enumerate(starts) if s <= i < s + tile)
+    assert sorted((r.i, r.tile_r) for r in got.where("j = 0").collect()) == want
+
+
+def test_plan_of_many_tiles_is_small(spark):
+    p = raster(spark, np.zeros((4, 4)), "v")
+    plan = lambda rows: len(fr.decomposed(p, rows, 4, 30, 6)._jdf.queryExecution().analyzed().toString())
+    assert plan(500_000) < plan(500) + 200
