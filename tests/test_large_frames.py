@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from isophase.operators import frames as fr
 from isophase.operators import stencil as st
+from isophase.solver import mcf, network
+
+TAU = 2 * np.pi
 
 
 def raster(spark, grid, name, **more):
@@ -71,3 +74,14 @@ def test_plan_of_many_tiles_is_small(spark):
     p = raster(spark, np.zeros((4, 4)), "v")
     plan = lambda rows: len(fr.decomposed(p, rows, 4, 30, 6)._jdf.queryExecution().analyzed().toString())
     assert plan(500_000) < plan(500) + 200
+
+
+def test_points_of_a_lattice():
+    """Rounding left points of a lattice out of the triangulation; and 12,000 points took quadratic time."""
+    at = np.unique(np.random.default_rng(3000).choice(3600, 3000, replace=False))
+    assert len(np.unique(network.delaunay(at // 60 / 10, at % 60 / 10))) == 3000
+    at = np.random.default_rng(1).choice(1009 * 997, 12_000, replace=False)
+    x, y = at // 997 / 10, at % 997 / 10
+    began = time.time()
+    unw = network.unwrap_points(x, y, mcf.wrap(0.05 * x + 0.04 * y), np.full(12_000, 0.1))
+    assert time.time() - began < 15 and np.ptp(unw - 0.05 * x - 0.04 * y) < 1e-6
