@@ -35,6 +35,15 @@ class Options:
     psize: int = 64
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` shuffled by ``keys`` into a fixed number of parts.
+
+    A solver works long on few bytes; by their size adaptive execution would merge all frames into a few tasks.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
 SCHEMA = "frame_id string, i int, j int, unw double, label int"
 
 
@@ -102,7 +111,7 @@ def unwrap(pixels: DataFrame, nlooks: float, options: Options = Options()) -> Da
         i, j = np.nonzero(mask)
         return pd.DataFrame({"frame_id": pdf.frame_id.iloc[0], "i": i.astype("int32"), "j": j.astype("int32"), "unw": unw[i, j], "label": label[i, j].astype("int32")})
 
-    return pixels.select("frame_id", "i", "j", "psi", "corr", "mask").groupBy("frame_id").applyInPandas(one, SCHEMA)
+    return spread(pixels.select("frame_id", "i", "j", "psi", "corr", "mask"), "frame_id").groupBy("frame_id").applyInPandas(one, SCHEMA)
 
 
 def unwrap_variance(pixels: DataFrame) -> DataFrame:
@@ -116,7 +125,7 @@ def unwrap_variance(pixels: DataFrame) -> DataFrame:
         i, j = np.nonzero(mask)
         return pd.DataFrame({"frame_id": pdf.frame_id.iloc[0], "i": i.astype("int32"), "j": j.astype("int32"), "unw": unwrap_variance_arrays(phase, variance, mask)[i, j]})
 
-    return pixels.select("frame_id", "i", "j", "psi", "variance", "mask").groupBy("frame_id").applyInPandas(one, "frame_id string, i int, j int, unw double")
+    return spread(pixels.select("frame_id", "i", "j", "psi", "variance", "mask"), "frame_id").groupBy("frame_id").applyInPandas(one, "frame_id string, i int, j int, unw double")
 
 
 def unwrap_points(points: DataFrame, max_edge: float | None = None) -> DataFrame:
@@ -126,7 +135,7 @@ def unwrap_points(points: DataFrame, max_edge: float | None = None) -> DataFrame
         unw = network.unwrap_points(pdf.x, pdf.y, pdf.phase, pdf.variance, max_edge)
         return pd.DataFrame({"frame_id": pdf.frame_id, "pid": pdf.pid, "unw": unw})
 
-    return points.select("frame_id", "pid", "x", "y", "phase", "variance").groupBy("frame_id").applyInPandas(one, "frame_id string, pid long, unw double")
+    return spread(points.select("frame_id", "pid", "x", "y", "phase", "variance"), "frame_id").groupBy("frame_id").applyInPandas(one, "frame_id string, pid long, unw double")
 
 
 def label_components(pixels: DataFrame) -> DataFrame:
@@ -137,4 +146,4 @@ def label_components(pixels: DataFrame) -> DataFrame:
         i, j = np.nonzero(mask)
         return pd.DataFrame({"frame_id": pdf.frame_id.iloc[0], "i": i.astype("int32"), "j": j.astype("int32"), "label": mcf.label(mask)[i, j].astype("int32")})
 
-    return pixels.select("frame_id", "i", "j", "mask").groupBy("frame_id").applyInPandas(one, "frame_id string, i int, j int, label int")
+    return spread(pixels.select("frame_id", "i", "j", "mask"), "frame_id").groupBy("frame_id").applyInPandas(one, "frame_id string, i int, j int, label int")

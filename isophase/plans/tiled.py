@@ -32,7 +32,8 @@ def solved_tiles(pixels: DataFrame, rows: int, cols: int, nlooks: float, tile: i
         })
 
     d = fr.decomposed(pixels.select("frame_id", "i", "j", "psi", "corr", "mask"), rows, cols, tile, overlap)
-    return d.groupBy("frame_id", "tile_r", "tile_c").applyInPandas(one, TILES)
+    keys = ("frame_id", "tile_r", "tile_c")
+    return api.spread(d, *keys).groupBy(*keys).applyInPandas(one, TILES)
 
 
 def seam_offsets(tiles: DataFrame, n_cols: int) -> DataFrame:

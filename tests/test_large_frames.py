@@ -7,8 +7,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from isophase import api
 from isophase.operators import frames as fr
 from isophase.operators import stencil as st
+from isophase.plans import tiled
 from isophase.solver import mcf, network
 
 TAU = 2 * np.pi
@@ -85,3 +87,10 @@ def test_points_of_a_lattice():
     began = time.time()
     unw = network.unwrap_points(x, y, mcf.wrap(0.05 * x + 0.04 * y), np.full(12_000, 0.1))
     assert time.time() - began < 15 and np.ptp(unw - 0.05 * x - 0.04 * y) < 1e-6
+
+
+def test_small_frames_are_many_tasks(spark):
+    i, j = np.indices((4, 4))
+    p = spark.createDataFrame(pd.concat([pd.DataFrame({"frame_id": str(f), "i": i.ravel(), "j": j.ravel(), "psi": 0.1, "corr": 0.9, "mask": True}) for f in range(60)]))
+    for solved in (api.unwrap(p, 5.0), tiled.solved_tiles(p, 4, 4, 5.0, 3, 1, api.Options())):
+        assert solved.select(F.spark_partition_id().alias("part")).distinct().count() > 4
