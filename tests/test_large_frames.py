@@ -94,3 +94,15 @@ def test_small_frames_are_many_tasks(spark):
     p = spark.createDataFrame(pd.concat([pd.DataFrame({"frame_id": str(f), "i": i.ravel(), "j": j.ravel(), "psi": 0.1, "corr": 0.9, "mask": True}) for f in range(60)]))
     for solved in (api.unwrap(p, 5.0), tiled.solved_tiles(p, 4, 4, 5.0, 3, 1, api.Options())):
         assert solved.select(F.spark_partition_id().alias("part")).distinct().count() > 4
+
+
+def test_frames_of_noise_cost_the_same_with_ground_or_without():
+    rng = np.random.default_rng(6)
+    for size in ((2, 2), (2, 9), (3, 3), (17, 31)):
+        phase = rng.uniform(-np.pi, np.pi, size)
+        pick = lambda *s: rng.integers(0, 9, s)
+        c = mcf.Costs(pick(size[0], size[1] - 1), pick(size[0], size[1] - 1), pick(size[0] - 1, size[1]), pick(size[0] - 1, size[1]))
+        f, supply = mcf.solve(mcf.residues(phase), c), mcf.residues(phase)
+        assert (supply[1:-1, 1:-1] + f[0][:-1] + f[1][:, 1:] - f[0][1:] - f[1][:, :-1] == 0).all()
+        assert mcf.objective(c, *f) == mcf.objective(c, *network.solve_grounded(supply, c.down, c.up, c.left, c.right))
+    assert mcf._table(5.0) is mcf._table(5.0)
