@@ -78,6 +78,16 @@ def test_plan_of_many_tiles_is_small(spark):
     assert plan(500_000) < plan(500) + 200
 
 
+def test_seams_of_a_long_frame():
+    """The ground is next to every rim node; searches that went on through it took time quadratic in the rows."""
+    rng, rows = np.random.default_rng(2), 3000
+    tile = np.arange(rows * 5).reshape(rows, 5)
+    near = [*zip(tile[:, :-1].ravel(), tile[:, 1:].ravel(), strict=True), *zip(tile[:-1].ravel(), tile[1:].ravel(), strict=True)]
+    seams = {(int(a), int(b)): (int(rng.integers(-1, 2)), int(rng.integers(1, 90))) for a, b in near}
+    began = time.time()
+    assert network.reconcile(rows, 5, seams).shape == (rows, 5) and time.time() - began < 30
+
+
 def test_points_of_a_lattice():
     """Rounding left points of a lattice out of the triangulation; and 12,000 points took quadratic time."""
     at = np.unique(np.random.default_rng(3000).choice(3600, 3000, replace=False))
