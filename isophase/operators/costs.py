@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isophase.functions.phase import clamped_variance, finite, looks
+from isophase.operators.stencil import per_frame
 
 #: Slope guard: share of edges it may free, lowest threshold (rad), histogram bins over [0, pi].
 BUDGET, FLOOR, BINS = 0.03, 1.0, 1024
@@ -41,7 +42,7 @@ def slope_guard_threshold(edges: DataFrame, budget: float = BUDGET, floor: float
 
 def guarded(edges: DataFrame, threshold: DataFrame) -> DataFrame:
     """``edges`` with ``guard``: the slope is at least the frame's threshold, on edges that count."""
-    e = edges.join(threshold, "frame_id")
+    e = per_frame(edges, threshold)
     return e.withColumn("guard", F.col("both") & (F.col("corr") > 1e-9) & (F.abs("gradient") >= F.col("threshold"))).drop("threshold")
 
 

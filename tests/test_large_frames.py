@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isophase import api
+from isophase.operators import costs as co
 from isophase.operators import frames as fr
 from isophase.operators import stencil as st
 from isophase.plans import tiled
@@ -116,3 +117,17 @@ def test_frames_of_noise_cost_the_same_with_ground_or_without():
         assert (supply[1:-1, 1:-1] + f[0][:-1] + f[1][:, 1:] - f[0][1:] - f[1][:, :-1] == 0).all()
         assert mcf.objective(c, *f) == mcf.objective(c, *network.solve_grounded(supply, c.down, c.up, c.left, c.right))
     assert mcf._table(5.0) is mcf._table(5.0)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_frames_are_spread_over_join_keys(spark):
+    p = raster(spark, np.arange(4000.0).reshape(100, 40), "psi", corr=0.5, mask=True, truth=0.0, unw=1.0)
+    e = st.edges(p)
+    t = co.slope_guard_threshold(e)
+    assert co.guarded(e, t).count() == e.count() and "_part" in _plan(co.guarded(e, t))
+    assert st.per_frame(p, spark.createDataFrame([("b", 1)], "frame_id string, x int")).count() == 0
+    keys = p.withColumn("_part", F.pmod(F.hash("i", "j", "psi"), F.lit(64))).groupBy("_part").count()
+    assert keys.agg(F.max("count")).first()[0] < 4000 / 64 * 2
