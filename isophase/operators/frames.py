@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isophase.functions.phase import TAU
+from isophase.operators.stencil import per_frame
 
 
 def finalize_labels(components: DataFrame, min_px: int = 100, min_fraction: float = 0.0, most: int = 0) -> DataFrame:
@@ -117,6 +118,23 @@ def flow_objective(flows: DataFrame) -> DataFrame:
     return flows.groupBy("frame_id").agg(F.sum(F.col("cost") * F.abs("flow")).alias("objective"), F.sum("flow").alias("net"))
 
 
+def median_cycles(rows: DataFrame, value: Column, period: float, name: str) -> DataFrame:
+    """``(frame_id, name)``: the median of ``value`` in whole periods, exactly, from one row per frame and whole period.
+
+    Rounding keeps the order, so the two middle values lie in the periods that hold the middle places; only where these
+    are two different ones do the values count, and they are the largest and the smallest of theirs.
+    """
+    per = rows.select("frame_id", value.alias("_v")).where("_v is not null")
+    per = per.groupBy("frame_id", F.rint(F.col("_v") / period).alias("_k")).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    line = Window.partitionBy("frame_id")
+    per = per.withColumn("_to", F.sum("_n").over(line.orderBy("_k"))).withColumn("_all", F.sum("_n").over(line))
+    holds = lambda place: (F.col("_to") > place) & (F.col("_to") - F.col("_n") <= place)
+    first, second = holds(F.floor((F.col("_all") - 1) / 2)), holds(F.floor(F.col("_all") / 2))
+    one = lambda where, c: F.max(F.when(where, F.col(c)))
+    mid = per.where(first | second).groupBy("frame_id").agg(one(first, "_k").alias("_a"), one(second, "_k").alias("_b"), one(first, "_hi").alias("_x"), one(second, "_lo").alias("_y"))
+    return mid.select("frame_id", F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.rint((0.5 * F.col("_x") + 0.5 * F.col("_y")) / period)).alias(name))
+
+
 def compare_stats(pixels: DataFrame, runtime: float | None = None) -> DataFrame:
     """One row per frame comparing ``ww_unw`` with ``prod_unw`` on ``pixels(frame_id, i, j, psi, corr, mask, prod_unw, ww_unw)``.
 
@@ -124,8 +142,7 @@ def compare_stats(pixels: DataFrame, runtime: float | None = None) -> DataFrame:
     """
     ok = F.col("mask") & F.col("psi").isNotNull() & F.col("prod_unw").isNotNull() & F.col("ww_unw").isNotNull() & ~F.isnan("prod_unw") & ~F.isnan("ww_unw")
     v = pixels.where(ok)
-    offset = v.groupBy("frame_id").agg(F.rint(F.median((F.col("ww_unw") - F.col("prod_unw")) / TAU)).alias("offset"))
-    v = v.join(offset, "frame_id")
+    v = per_frame(v, median_cycles(v, (F.col("ww_unw") - F.col("prod_unw")) / TAU, 1.0, "offset"))
     amb = lambda c: F.rint((F.col(c) - F.col("psi")) / TAU)
     d = v.withColumn("amb", amb("ww_unw") - amb("prod_unw") - F.col("offset")).withColumn("diff", F.col("ww_unw") - F.col("prod_unw") - F.col("offset") * TAU)
     return d.groupBy("frame_id").agg(

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isophase.functions.phase import wrap
+from isophase.operators.frames import median_cycles
+from isophase.operators.stencil import per_frame
 
 TAU = 2 * math.pi
 
@@ -19,8 +21,8 @@ def ambiguity_errors(pixels: DataFrame) -> DataFrame:
     NaN) are left out.
     """
     valid = pixels.where(F.col("unw").isNotNull() & ~F.isnan("unw"))
-    off = valid.groupBy("frame_id").agg((F.rint(F.median(F.col("unw") - F.col("truth")) / TAU) * TAU).alias("_off"))
-    at = valid.join(off, "frame_id")
+    off = median_cycles(valid, F.col("unw") - F.col("truth"), TAU, "_off").withColumn("_off", F.col("_off") * TAU)
+    at = per_frame(valid, off)
     k = lambda x: F.rint((x - F.col("psi")) / TAU).cast("int")
     at = at.withColumn("k_true", k(F.col("truth") + F.col("_off"))).withColumn("k_error", k(F.col("unw")) - F.col("k_true"))
     return at.drop("_off")

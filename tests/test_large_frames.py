@@ -1,5 +1,6 @@
 """What frames of many rows need: work that grows with their pixels only, and no task that holds a whole frame."""
 
+import random
 import time
 
 import numpy as np
@@ -11,6 +12,7 @@ from isophase import api
 from isophase.operators import costs as co
 from isophase.operators import frames as fr
 from isophase.operators import stencil as st
+from isophase.operators import truth as tr
 from isophase.plans import tiled
 from isophase.solver import mcf, network
 
@@ -131,3 +133,21 @@ def test_frames_are_spread_over_join_keys(spark):
     assert st.per_frame(p, spark.createDataFrame([("b", 1)], "frame_id string, x int")).count() == 0
     keys = p.withColumn("_part", F.pmod(F.hash("i", "j", "psi"), F.lit(64))).groupBy("_part").count()
     assert keys.agg(F.max("count")).first()[0] < 4000 / 64 * 2
+
+
+def test_median_in_cycles(spark):
+    rng = random.Random(5)
+    rows = []
+    for f in range(60):
+        size = rng.choice([1, 2, 3, 4, 9, 10])
+        rows += [(str(f), rng.choice([rng.uniform(-20, 20), rng.randint(-4, 4) * TAU / 2])) for _ in range(size)]
+    rows.append(("0", None))
+    df = spark.createDataFrame(rows, "frame_id string, v double")
+    want = {r.frame_id: r.m for r in df.groupBy("frame_id").agg(F.rint(F.median("v") / TAU).alias("m")).collect()}
+    assert {r.frame_id: r.m for r in fr.median_cycles(df, F.col("v"), TAU, "m").collect()} == want
+
+
+def test_truth_is_spread_over_join_keys(spark):
+    p = raster(spark, np.arange(4000.0).reshape(100, 40), "psi", corr=0.5, mask=True, truth=0.0, unw=1.0)
+    errors = tr.ambiguity_errors(p)
+    assert errors.count() == 4000 and "_part" in _plan(errors) and "median" not in _plan(errors)
