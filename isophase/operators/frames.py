@@ -61,25 +61,28 @@ def thickened_cuts(edges: DataFrame, threshold: float) -> DataFrame:
     return e.withColumn("cut", ~F.col("valid") | (F.col("rel") <= threshold)).withColumn("thick", mean > 0).drop("strength", "across", "along", "before", "after")
 
 
+def tile_ends(total: int, tile: int, overlap: int) -> tuple[int, int]:
+    """The number of tiles along an axis and the start of the last; the others start at multiples of ``tile - overlap``."""
+    return (1, 0) if total <= tile else (len(range(0, total - tile, tile - overlap)) + 1, total - tile)
+
+
 def tile_starts(total: int, tile: int, overlap: int) -> list[int]:
-    if total <= tile:
-        return [0]
-    starts = list(range(0, total - tile, tile - overlap))
-    return [*starts, total - tile]
+    n, last = tile_ends(total, tile, overlap)
+    return [*range(0, (n - 1) * (tile - overlap), tile - overlap), last]
 
 
 def decomposed(pixels: DataFrame, rows: int, cols: int, tile: int, overlap: int) -> DataFrame:
     """``pixels`` once for each tile that they are in (at most four unless the last tile is moved in): ``tile_r, tile_c``."""
     none = F.array().cast("array<int>")
 
-    def axis(c: str, starts: list[int]) -> Column:
+    def axis(c: str, total: int) -> Column:
         # all tiles but the last stand a step apart, so those that hold a pixel follow from its place
-        x, step, last = F.col(c), tile - overlap, len(starts) - 1
-        lo, hi = F.greatest(F.floor((x - tile) / step) + 1, F.lit(0)).cast("int"), F.least(F.floor(x / step), F.lit(last - 1)).cast("int")
-        end = F.when((x >= starts[-1]) & (x < starts[-1] + tile), F.array(F.lit(last))).otherwise(none)
+        x, step, (n, start) = F.col(c), tile - overlap, tile_ends(total, tile, overlap)
+        lo, hi = F.greatest(F.floor((x - tile) / step) + 1, F.lit(0)).cast("int"), F.least(F.floor(x / step), F.lit(n - 2)).cast("int")
+        end = F.when((x >= start) & (x < start + tile), F.array(F.lit(n - 1))).otherwise(none)
         return F.concat(F.when(hi >= lo, F.sequence(lo, hi)).otherwise(none), end)
 
-    return pixels.withColumn("tile_r", F.explode(axis("i", tile_starts(rows, tile, overlap)))).withColumn("tile_c", F.explode(axis("j", tile_starts(cols, tile, overlap))))
+    return pixels.withColumn("tile_r", F.explode(axis("i", rows))).withColumn("tile_c", F.explode(axis("j", cols)))
 
 
 def stitching_offsets(pairs: DataFrame, keys: list[str]) -> DataFrame:

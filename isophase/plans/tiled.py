@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -16,18 +17,18 @@ TILES = "frame_id string, tile_r int, tile_c int, i int, j int, unw double, corr
 
 def solved_tiles(pixels: DataFrame, rows: int, cols: int, nlooks: float, tile: int, overlap: int, options: api.Options) -> DataFrame:
     """Each tile unwrapped by itself, one task per tile; ``w`` falls off towards the tile's rim."""
-    starts_r, starts_c = fr.tile_starts(rows, tile, overlap), fr.tile_starts(cols, tile, overlap)
+    shape, step = (min(tile, rows), min(tile, cols)), tile - overlap
+    (n_rows, last_r), (n_cols, last_c) = fr.tile_ends(rows, tile, overlap), fr.tile_ends(cols, tile, overlap)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         r, c = int(pdf.tile_r.iloc[0]), int(pdf.tile_c.iloc[0])
-        own = pdf.assign(i=pdf.i - starts_r[r], j=pdf.j - starts_c[c])
-        shape = (min(tile, rows), min(tile, cols))
-        phase, corr, mask = api._grid(own, shape)
+        start_r, start_c = r * step if r < n_rows - 1 else last_r, c * step if c < n_cols - 1 else last_c
+        phase, corr, mask = api._grid(pdf.assign(i=pdf.i - start_r, j=pdf.j - start_c), shape)
         unw, _ = api.unwrap_arrays(phase, corr, mask, nlooks, options)
         i, j = mask.nonzero()
         taper = lambda at, n: pd.Series(at + 1).clip(upper=pd.Series(n - at)).to_numpy(float)
         return pd.DataFrame({
-            "frame_id": pdf.frame_id.iloc[0], "tile_r": r, "tile_c": c, "i": i + starts_r[r], "j": j + starts_c[c],
+            "frame_id": pdf.frame_id.iloc[0], "tile_r": r, "tile_c": c, "i": i + start_r, "j": j + start_c,
             "unw": unw[i, j], "corr": corr[i, j], "w": taper(i, shape[0]) * taper(j, shape[1]),
         })
 
@@ -50,12 +51,13 @@ def seam_offsets(tiles: DataFrame, n_cols: int) -> DataFrame:
 def unwrap_tiled(pixels: DataFrame, rows: int, cols: int, nlooks: float, tile: int = 512, overlap: int = 64, options: api.Options = api.Options(bridge=False)) -> DataFrame:
     """``(frame_id, i, j, unw)`` of ``pixels(frame_id, i, j, psi, corr, mask)``, frames of ``rows`` by ``cols``.
 
-    Masked pixels are left out. Only seams, a few numbers per tile, meet in one task per frame. Solved tiles are read
+    Masked pixels are left out. Only seams, a few numbers per tile that holds pixels, meet in one task per frame; stretches
+    of rows without any are passed over, and what lies beyond them is some whole cycles off. Solved tiles are read
     three times and are checkpointed; without ``spark.checkpoint.dir`` they are kept on disk on a local master only.
     """
     if not 0 < overlap < tile:
         raise ValueError("overlap must be positive and less than the tile")
-    n_rows, n_cols = len(fr.tile_starts(rows, tile, overlap)), len(fr.tile_starts(cols, tile, overlap))
+    n_cols = fr.tile_ends(cols, tile, overlap)[0]
     tiles = solved_tiles(pixels, rows, cols, nlooks, tile, overlap, options)
     shared = pixels.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not shared and not pixels.sparkSession.sparkContext.master.startswith("local["):
@@ -63,9 +65,13 @@ def unwrap_tiled(pixels: DataFrame, rows: int, cols: int, nlooks: float, tile: i
     tiles = tiles.checkpoint() if shared else tiles.persist(StorageLevel.DISK_ONLY)
 
     def shifts(pdf: pd.DataFrame) -> pd.DataFrame:
-        seams = {(int(a), int(b)): (int(k), int(c)) for a, b, k, c in zip(pdf.ta, pdf.tb, pdf.k, pdf.confidence, strict=True)}
-        off = network.reconcile(n_rows, n_cols, seams).ravel()
-        return pd.DataFrame({"frame_id": pdf.frame_id.iloc[0], "tile": range(len(off)), "shift": off})
+        ta, tb = pdf.ta.to_numpy(), pdf.tb.to_numpy()
+        held = np.unique(np.concatenate([ta, tb]) // n_cols)  # rows of tiles; between those not next to each other there is no seam
+        place = lambda t: (np.searchsorted(held, t // n_cols) * n_cols + t % n_cols).tolist()
+        seams = dict(zip(zip(place(ta), place(tb), strict=True), zip(pdf.k.tolist(), pdf.confidence.tolist(), strict=True), strict=True))
+        off = network.reconcile(len(held), n_cols, seams)
+        tile_of = held[:, None] * n_cols + np.arange(n_cols)
+        return pd.DataFrame({"frame_id": pdf.frame_id.iloc[0], "tile": tile_of.ravel(), "shift": off.ravel()})
 
     shift = seam_offsets(tiles, n_cols).groupBy("frame_id").applyInPandas(shifts, "frame_id string, tile int, shift long")
     moved = tiles.withColumn("tile", F.col("tile_r") * n_cols + F.col("tile_c")).join(shift, ["frame_id", "tile"], "left")

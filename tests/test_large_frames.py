@@ -91,6 +91,22 @@ def test_seams_of_a_long_frame():
     assert network.reconcile(rows, 5, seams).shape == (rows, 5) and time.time() - began < 30
 
 
+def test_tiles_of_a_frame_with_a_gap(spark):
+    """Two scenes 30,000,000 rows apart: all tiles in between were listed, and reconciled as seams without pixels."""
+    assert fr.tile_ends(2**31 - 1, 30, 6) == (89478486, 2**31 - 31)
+    rows, cols, far = 30_000_048, 40, 30_000_000
+    i, j = np.indices((48, cols))
+    truth = 0.6 * i + 0.4 * j
+    pdf = pd.concat(pd.DataFrame({"frame_id": "a", "i": (i + d).ravel().astype("int32"), "j": j.ravel().astype("int32"), "psi": mcf.wrap(truth).ravel(), "corr": 0.9, "mask": True}) for d in (0, far))
+    began = time.time()
+    got = tiled.unwrap_tiled(spark.createDataFrame(pdf), rows, cols, 5.0, 24, 8).toPandas()
+    assert time.time() - began < 25 and len(got) == 2 * truth.size
+    for d in (0, far):
+        own = got[(got.i >= d) & (got.i < d + 48)]
+        off = own.unw - truth[own.i - d, own.j]
+        assert len(own) == truth.size and np.ptp(off) < 1e-6
+
+
 def test_points_of_a_lattice():
     """Rounding left points of a lattice out of the triangulation; and 12,000 points took quadratic time."""
     at = np.unique(np.random.default_rng(3000).choice(3600, 3000, replace=False))
